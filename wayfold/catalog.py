@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold import fixtures as fx
 from wayfold import schema
-from wayfold.config import DetectConfig
+from wayfold.config import DetectConfig, DrainConfig
 from wayfold.functions import geo, mapping, predicates, validation
 from wayfold.operators import client as client_ops
 from wayfold.operators import (
@@ -150,14 +150,16 @@ def emission_counts(spark, d):
 
 @query
 def client_stop_stream(spark, d):
-    """The streaming detector over the same fixes, delivered as one micro-batch."""
+    """The streaming detector over the same fixes, arriving as deliveries in time order."""
     root = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4()}"
-    fx.positions(spark, d).write.parquet(f"{root}/fixes")
-    fixes = spark.readStream.schema(schema.POSITIONS).parquet(f"{root}/fixes")
-    key, value = next(iter(stream_stops.STATE_STORE.items()))
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
+    p = materialise(fx.positions(spark, d))
+    files = 4
+    for start in range(0, 4 * HOUR, HOUR):
+        low, high = moment(fx.EPOCH_US + start), moment(fx.EPOCH_US + start + HOUR)
+        delivery = p.filter(predicates.in_window("recorded_at", low, high))
+        delivery.repartition(files).write.mode("append").parquet(f"{root}/fixes")
+    fixes = spark.readStream.schema(schema.POSITIONS).option("maxFilesPerTrigger", files).parquet(f"{root}/fixes")
+    with stream_stops.rocksdb_state(spark):
         run = (
             stream_stops.detect_stops_stream(fixes)
             .writeStream.format("parquet")
@@ -167,8 +169,6 @@ def client_stop_stream(spark, d):
             .start()
         )
         run.awaitTermination()
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     found = spark.read.parquet(f"{root}/out")
     return found.select("event_id", "vehicle_id", "kind", us("arrived_at"), us("departed_at"), "lat", "lon")
 
@@ -176,7 +176,8 @@ def client_stop_stream(spark, d):
 @query
 def windowed_derivation(spark, d):
     p = fx.positions(spark, d)
-    run = run_derivation(p, client_stops(spark, d), moment(FROM), moment(TO), moment(NOW), slicing=fx.slicing(spark, d))
+    reported = materialise(client_stops(spark, d))
+    run = run_derivation(p, reported, moment(FROM), moment(TO), moment(NOW), slicing=fx.slicing(spark, d))
     return run_summary(run).select(*[big(c) for c in (
         "vehicles", "trips", "derived_stops", "client_stops", "matched", "client_only", "derived_only",
     )])
@@ -658,7 +659,7 @@ def load_audit(spark, d):
 def stop_reports(spark, d):
     """Each client stop reported open and, once left, closed, in either order, and open once more.
     The closed report carries another latitude."""
-    c = client_stops(spark, d)
+    c = materialise(client_stops(spark, d))
     odd = F.unix_micros("arrived_at") % 2
     opened = c.withColumn("departed_at", F.lit(None).cast("timestamp")).withColumn("batch_seq", odd)
     closed = c.filter("departed_at is not null").withColumn("lat", F.col("lat") + 1)
@@ -672,21 +673,23 @@ def stop_report_collapse(spark, d):
     return found.select("vehicle_id", us("arrived_at"), us("departed_at"), F.round("lat", 6).alias("lat"))
 
 
-def stop_snapshot(spark, d):
+def stop_snapshot(reports):
     """Stored stops: a third of them, still open."""
-    c = client_stops(spark, d).filter(F.unix_micros("arrived_at") % 3 == 0)
+    c = reports.filter("batch_seq = 2").filter(F.unix_micros("arrived_at") % 3 == 0).drop("batch_seq")
     return c.withColumn("departed_at", F.lit(None).cast("timestamp"))
 
 
 @query
 def client_stop_merge(spark, d):
-    snapshot, _ = load.merge_client_stops(stop_snapshot(spark, d), stop_reports(spark, d))
+    reports = stop_reports(spark, d)
+    snapshot, _ = load.merge_client_stops(stop_snapshot(reports), reports)
     return snapshot.select("vehicle_id", us("arrived_at"), us("departed_at"), F.round("lat", 6).alias("lat"))
 
 
 @query
 def client_stop_merge_effects(spark, d):
-    _, affected = load.merge_client_stops(stop_snapshot(spark, d), stop_reports(spark, d))
+    reports = stop_reports(spark, d)
+    _, affected = load.merge_client_stops(stop_snapshot(reports), reports)
     return affected.groupBy("change").agg(F.count(F.lit(1)).alias("stops"))
 
 
@@ -752,8 +755,8 @@ def local_retention(spark, d):
 
 @query
 def constraint_report(spark, d):
-    t, s = detected(spark, d)
-    c = client_stops(spark, d)
+    t, s = (materialise(found) for found in detected(spark, d))
+    c = materialise(client_stops(spark, d))
     n = n_of()
     p = flawed_readings(spark, d).withColumn(
         "vehicle_id", F.when(n % 151 == 0, "ghost").otherwise(F.col("vehicle_id"))
@@ -786,6 +789,8 @@ def open_trip_check(spark, d):
 
 # Policy
 
+BANDS = DrainConfig(band_starts=(20, 25, 30))
+
 
 @query
 def sampling_backtest(spark, d):
@@ -795,7 +800,7 @@ def sampling_backtest(spark, d):
 
 @query
 def battery_drain(spark, d):
-    found = policy.battery_drain(fx.positions(spark, d), slicing=fx.slicing(spark, d))
+    found = policy.battery_drain(fx.positions(spark, d), BANDS, slicing=fx.slicing(spark, d))
     return found.select("band", "vehicle_hours", metres("hours"), big("spent_pct"), metres("drain_pct_per_hour"))
 
 
@@ -804,7 +809,7 @@ def battery_drain_stationary(spark, d):
     p = fx.positions(spark, d).withColumn(
         "motion_state", F.when(F.col("vehicle_id").cast("bigint") % 2 == 0, "still").otherwise(F.col("motion_state"))
     )
-    found = policy.battery_drain(p, stationary_only=True, slicing=fx.slicing(spark, d))
+    found = policy.battery_drain(p, BANDS, stationary_only=True, slicing=fx.slicing(spark, d))
     return found.select("band", "vehicle_hours", metres("hours"), big("spent_pct"), metres("drain_pct_per_hour"))
 
 

@@ -126,17 +126,21 @@ def replace_matches(
     return kept.unionByName(new_matches, allowMissingColumns=True)
 
 
-def register_vehicles(vehicles: DataFrame, batches: DataFrame, created_at) -> DataFrame:
-    """The vehicle table plus a row for every device_id not seen before, labelled with it."""
+def new_vehicles(vehicles: DataFrame, batches: DataFrame, created_at) -> DataFrame:
+    """A row for every device_id the vehicle table does not know yet, labelled with it."""
     seen = batches.select(F.col("device_id").alias("external_id")).filter("external_id <> ''").distinct()
     unknown = seen.join(_known(vehicles, seen, "external_id"), "external_id", "left_anti")
-    rows = unknown.select(
+    return unknown.select(
         event_id("vehicle", F.col("external_id")).alias("id"),
         "external_id",
         F.col("external_id").alias("label"),
         at(created_at).alias("created_at"),
     )
-    return vehicles.unionByName(rows)
+
+
+def register_vehicles(vehicles: DataFrame, batches: DataFrame, created_at) -> DataFrame:
+    """The vehicle table with the new devices added."""
+    return vehicles.unionByName(new_vehicles(vehicles, batches, created_at))
 
 
 def retain_since(positions: DataFrame, cutoff) -> tuple[DataFrame, DataFrame]:

@@ -44,19 +44,20 @@ def mark_parked(positions: DataFrame, stops: DataFrame, slicing: Slicing) -> Dat
     """
     width = slicing.width_us
     start = F.unix_micros("arrived_at")
-    end = F.coalesce(F.unix_micros("departed_at"), F.lit(2**62))
+    end = F.unix_micros("departed_at")
     spans = stops.select(*KEYS, start.alias("_start"), end.alias("_end"))
     if slicing.whole:
         pieces = spans.select("*", F.lit(0).cast("bigint").alias(SLICE), F.col("_start").alias("_us"))
     else:
-        newest = positions.groupBy(*KEYS).agg(F.unix_micros(F.max("recorded_at")).alias("_newest"))
+        # An open span, one per vehicle at most, lasts until the vehicle's newest sample.
+        newest = positions.groupBy(*KEYS).agg(F.unix_micros(F.max("recorded_at")).alias("_until"))
+        opened = spans.filter("_end is null").join(newest, KEYS).filter("_until >= _start")
+        closed = spans.filter("_end is not null").withColumn("_until", F.col("_end"))
         pieces = (
-            spans.join(newest, KEYS)
-            .withColumn("_until", F.least("_end", "_newest"))
-            .filter("_until >= _start")
+            closed.unionByName(opened)
             .withColumn(SLICE, F.explode(F.expr(f"sequence(_start div {width}L, _until div {width}L)")))
             .withColumn("_us", F.greatest(F.col("_start"), F.col(SLICE) * width))
-            .drop("_newest", "_until")
+            .drop("_until")
         )
     samples = positions.select(
         *KEYS,
@@ -69,12 +70,12 @@ def mark_parked(positions: DataFrame, stops: DataFrame, slicing: Slicing) -> Dat
     both = samples.unionByName(pieces, allowMissingColumns=True)
     # At one instant a span's start precedes the samples taken then.
     order = ["_us", F.col("reading_id").asc_nulls_first()]
-    span = F.when(F.col("_end").isNotNull(), F.struct("_start", "_end"))
+    span = F.when(F.col("_start").isNotNull(), F.struct("_start", "_end"))
     latest = F.last(span, ignorenulls=True).over(inside_slice(KEYS, order))
     return (
         both.withColumn("_span", latest)
         .filter("reading_id is not null")
-        .withColumn("parked", F.coalesce(F.col("_us") <= F.col("_span._end"), F.lit(False)))
+        .withColumn("parked", F.col("_span").isNotNull() & F.coalesce(F.col("_us") <= F.col("_span._end"), F.lit(True)))
         .select(*KEYS, SLICE, "_us", "reading_id", "lat", "lon", "parked")
     )
 

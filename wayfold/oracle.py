@@ -219,8 +219,8 @@ prs AS (SELECT vehicle_id, us // {HOUR} AS h, (us - lag(us) OVER v) / 1e6 AS sec
 uh AS (SELECT vehicle_id, h, sum(secs) AS secs, sum(spent) AS spent FROM prs WHERE spent >= 0 AND secs <= 1800 GROUP BY ALL)""",
         f"""SELECT band, count(*) AS vehicle_hours, round(sum(secs) / 3600, 3) AS hours, CAST(sum(spent) AS BIGINT) AS spent_pct,
   round(sum(spent) / (sum(secs) / 3600), 3) AS drain_pct_per_hour
-FROM (SELECT uh.*, CASE WHEN fixes BETWEEN 20 AND 59 THEN '20-59' WHEN fixes BETWEEN 60 AND 119 THEN '60-119'
-        WHEN fixes >= 120 THEN '120+' END AS band FROM uh JOIN hrs USING (vehicle_id, h) WHERE {'driving = 0' if stationary else 'true'})
+FROM (SELECT uh.*, CASE WHEN fixes BETWEEN 20 AND 24 THEN '20-24' WHEN fixes BETWEEN 25 AND 29 THEN '25-29'
+        WHEN fixes >= 30 THEN '30+' END AS band FROM uh JOIN hrs USING (vehicle_id, h) WHERE {'driving = 0' if stationary else 'true'})
 WHERE band IS NOT NULL GROUP BY band""",
     )
 

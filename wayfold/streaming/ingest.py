@@ -12,7 +12,7 @@ from wayfold.operators.load import (
     collapse_by_id,
     load_audit,
     load_positions,
-    register_vehicles,
+    new_vehicles,
     resolve_stop_log,
 )
 from wayfold.session import materialise
@@ -50,11 +50,8 @@ def ingest_batch(target: Target, batches: DataFrame, epoch: int, received_at=Non
     reports, bad_reports = split_valid(batch_stops(usable), stop_rule, "event_id")
 
     vehicles = read_table(spark, target.path("vehicles"), schema.VEHICLES)
-    known = vehicles.select("external_id")
-    added = register_vehicles(vehicles.limit(0), usable, F.current_timestamp())
-    added.join(known, "external_id", "left_anti").select(*vehicles.columns).write.mode("append").parquet(
-        target.path("vehicles")
-    )
+    added = materialise(new_vehicles(vehicles, usable, F.current_timestamp()))
+    added.write.mode("append").parquet(target.path("vehicles"))
 
     columns = [c.split(" ")[0] for c in schema.POSITIONS.split(", ")]
     batch = materialise(readings.select(*columns, "batch_seq"))

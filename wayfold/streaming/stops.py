@@ -1,10 +1,12 @@
 """Incremental stop detection per device with keyed state."""
 
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from wayfold.config import ClientConfig
@@ -12,11 +14,22 @@ from wayfold.operators.client import advance, shape_emissions, usable_fixes
 
 OUTPUT = "vehicle_id string, kind string, lat double, lon double, arrived_us bigint, departed_us bigint"
 STATE = "anchor_lat double, anchor_lon double, anchor_us bigint, last_us bigint, is_open boolean"
-STATE_STORE = {
-    "spark.sql.streaming.stateStore.providerClass": (
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    )
-}
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextlib.contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Start the query inside this block: keyed state needs the RocksDB store."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, before)
 
 
 class StopProcessor(StatefulProcessor):
@@ -67,10 +80,8 @@ class StopProcessor(StatefulProcessor):
 def detect_stops_stream(fixes: DataFrame, cfg: ClientConfig = ClientConfig()) -> DataFrame:
     """Emissions of a stream of fixes. A delivery is what one micro-batch holds for a device; it is
     sorted, and fixes older than the last one seen inside an open radius are dropped across
-    deliveries. Needs the RocksDB state store (STATE_STORE). There is no watermark: late backlog is
-    legitimate input."""
-    from pyspark.sql import functions as F
-
+    deliveries. Bound a delivery with maxFilesPerTrigger or maxBytesPerTrigger on the source. Needs
+    the RocksDB state store (rocksdb_state). No watermark: late backlog is legitimate input."""
     usable = usable_fixes(fixes, cfg).select(
         "vehicle_id", F.unix_micros("recorded_at").alias("us"), "lat", "lon", "still"
     )
