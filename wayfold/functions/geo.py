@@ -32,7 +32,7 @@ def zoom_for_span(lat_span, lon_span) -> Column:
     span = F.greatest(_col(lat_span), _col(lon_span))
     level = F.floor(F.log2(F.lit(360.0) / F.when(span > 0, span))).cast("int")
     fitted = F.greatest(F.lit(MIN_ZOOM), F.least(F.lit(MAX_ZOOM), level))
-    return F.when(span <= 0, F.lit(POINT_ZOOM)).otherwise(fitted).cast("int")
+    return F.when(span <= 0, F.lit(POINT_ZOOM)).when(span > 0, fitted).cast("int")
 
 
 def np_haversine_m(lat1, lon1, lat2, lon2):
