@@ -1,5 +1,7 @@
 """Distances and map zoom as column expressions, with numpy twins for the sequential kernels."""
 
+import math
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,6 +37,13 @@ def zoom_for_span(lat_span, lon_span) -> Column:
     return F.when(span <= 0, F.lit(POINT_ZOOM)).when(span > 0, fitted).cast("int")
 
 
+def haversine(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
+    half_lat = math.sin(math.radians(lat2 - lat1) / 2)
+    half_lon = math.sin(math.radians(lon2 - lon1) / 2)
+    h = half_lat**2 + math.cos(math.radians(lat1)) * math.cos(math.radians(lat2)) * half_lon**2
+    return 2 * EARTH_RADIUS_M * math.asin(min(1.0, math.sqrt(h)))
+
+
 def np_haversine_m(lat1, lon1, lat2, lon2):
     half_lat = np.sin(np.radians(lat2 - lat1) / 2)
     half_lon = np.sin(np.radians(lon2 - lon1) / 2)

@@ -10,7 +10,7 @@ from wayfold.config import ClientConfig
 from wayfold.functions.predicates import is_stationary, usable_fix
 from wayfold.operators.fold import US, fold
 from wayfold.operators.ordered import Slicing, resolve_slicing
-from wayfold.operators.stops import KEYS, box_of, box_within, event_id, first_outside
+from wayfold.operators.stops import KEYS, box_of, box_within, event_id, first_jump, first_outside
 
 
 def advance(state, us, lat, lon, still, radius, dwell_us):
@@ -56,6 +56,7 @@ class ClientKernel:
     radius: float
     dwell_us: int
     columns: tuple = ("lat", "lon", "still")
+    mark: str = "arrived_us"
     fields: dict = field(
         default_factory=lambda: {
             "kind": "string",
@@ -70,11 +71,20 @@ class ClientKernel:
         state, emitted = advance(
             state, cols[US], cols["lat"], cols["lon"], cols["still"].astype(bool), self.radius, self.dwell_us
         )
-        return state, {name: [e[i] for e in emitted] for i, name in enumerate(self.fields)}
+        return state, self._rows(emitted)
+
+    def _rows(self, emitted):
+        return {name: [e[i] for e in emitted] for i, name in enumerate(self.fields)}
 
     def finish(self, state):
         return {}
 
+    def cut_off(self, state):
+        return self._rows([("departed", *state["anchor"], state["last"])]) if state and state["open"] else {}
+
+    def cut(self, cols):
+        return first_jump(cols[US], cols["lat"], cols["lon"], 2 * self.radius * (1 + 1e-9))
+
     def box(self, cols):
         return box_of(cols)
 

@@ -3,15 +3,21 @@
 Some operators walk a timeline and remember a small state (an anchor, a tier). A kernel processes
 one (key, slice) group, taking the state left by the slice before it and returning its own. When a
 key spans several slices, every slice first runs from a fresh state; then the states are chained
-over one summary row per slice, and only slices that turn out to start from another state run
-again, until each has been run from exactly the state its predecessor left. Results equal those of
-one uninterrupted walk, and no task ever holds more than one slice of rows.
+over one summary row per slice, and what turns out to start from another state runs again, until
+each slice has been run from exactly the state its predecessor left. Results equal those of one
+uninterrupted walk, and no task ever holds more than one slice of rows.
+
+Most slices contain a cut: a row from which on the walk is the same whatever came before. Then the
+state a slice leaves is known after the first run, and only its rows before the cut run again.
 
 A kernel is a small picklable object with
   columns  input columns besides the time `_us` (microseconds), never NULL
   fields   {output column: type name}
+  mark     the output column that dates a row of output, for telling the two sides of a cut apart
   run(state, cols) -> (state, {field: values})    cols: numpy arrays in time order
   finish(state) -> {field: values}                what is still owed after the last row
+  cut_off(state) -> {field: values}               what is owed when the next row is a cut
+  cut(cols) -> index or None                      first cut of a slice
   box(cols) -> JSON value                         summary of a slice, input to `skip`
   skip(state, box) -> state or None               exit state if the slice provably emits nothing
 States and boxes are JSON values; None is the fresh state.
@@ -47,36 +53,46 @@ def fold(df: DataFrame, keys: list[str], ts: str, tie: list[str], kernel, slicin
         placed = _place(rows, keys, len(tie)).select(*keys, US, *kernel.columns)
         return placed.mapInArrow(_whole_scan(keys, kernel), ", ".join(key_ddl + fields))
 
-    bookkeeping = [f"{SLICE} bigint", "_entry string", "_exit string", "_box string"]
+    bookkeeping = [f"{SLICE} bigint", "_entry string", "_exit string", "_box string", "_cut bigint"]
     scan_ddl = ", ".join(key_ddl + bookkeeping + fields)
     plan_ddl = ", ".join(key_ddl + bookkeeping + ["_action string"])
     group = [*keys, SLICE]
-    rows = rows.withColumn("_entry", F.lit(None).cast("string"))
+    book = ["_entry", "_exit", "_box", "_cut"]
+    blank = {"_entry": F.lit(None).cast("string"), "_cut": F.lit(None).cast("bigint")}
 
     def scan(part):
-        placed = _place(part, keys, len(tie)).select(*group, "_entry", US, *kernel.columns)
+        placed = _place(part, keys, len(tie)).select(*group, "_entry", "_cut", US, *kernel.columns)
         done = materialise(placed.mapInArrow(_slice_scan(keys, kernel), scan_ddl))
-        states = done.filter("_exit is not null").select(*group, "_entry", "_exit", "_box")
+        states = done.filter("_exit is not null").select(*group, *book)
         return states, done.filter("_exit is null").select(*group, *kernel.fields)
 
-    states, out = scan(rows)
+    states, out = scan(rows.withColumns(blank))
     while True:
-        plan = materialise(states.groupBy(*keys).applyInPandas(_chain(kernel), plan_ddl))
-        pending = plan.filter("_action = 'run'")
+        placed = states.repartition(*keys).sortWithinPartitions(*group).select(*group, *book)
+        plan = materialise(placed.mapInArrow(_chain_scan(keys, kernel), plan_ddl))
+        pending = plan.filter("_action = 'run'").select(*group, "_entry", "_cut")
         if pending.isEmpty():
             break
-        changed = plan.filter("_action != 'keep'").select(*group)
-        again = rows.join(pending.select(*group), group, "left_semi")
-        states, rerun = scan(again.unionByName(_entry_rows(pending, rows)))
-        states = plan.filter("_action != 'run'").drop("_action").unionByName(states)
-        out = out.join(changed, group, "left_anti").unionByName(rerun)
-
-    out = out.join(plan.filter("_action = 'skip'").select(*group), group, "left_anti")
+        again = rows.join(pending.select(*group, "_cut"), group)
+        again = again.filter(F.col("_cut").isNull() | (F.col(US) < F.col("_cut"))).drop("_cut")
+        rerun, news = scan(again.withColumns(blank).unionByName(_entry_rows(pending, rows)))
+        settled = plan.filter("_action <> 'run' or _cut is not null").drop("_action")
+        states = settled.unionByName(rerun)
+        out = _without(out, plan.filter("_action <> 'keep'"), group, kernel.mark).unionByName(news)
+
+    out = _without(out, plan.filter("_action = 'skip'"), group, kernel.mark)
     final = plan.groupBy(*keys).agg(F.max_by("_exit", SLICE).alias("_exit"))
     owed = final.mapInArrow(_finish_scan(keys, kernel), ", ".join(key_ddl + fields))
     return out.drop(SLICE).unionByName(owed)
 
 
+def _without(out, changed, group, mark):
+    """Output that a rerun does not replace: other slices, and what lies past a slice's cut."""
+    changed = changed.select(*group, F.coalesce("_cut", F.lit(2**62)).alias("_upto"))
+    kept = F.col("_upto").isNull() | (F.col(mark) >= F.col("_upto"))
+    return out.join(changed, group, "left").filter(kept).drop("_upto")
+
+
 def _place(rows, keys, ties):
     """Co-locate each (key, slice) and order it by time; a leading entry row sorts first."""
     order = [US] + [f"_tie{i}" for i in range(ties)]
@@ -85,15 +101,14 @@ def _place(rows, keys, ties):
 
 
 def _entry_rows(pending, rows):
-    """One row per slice to rerun, carrying the state it starts from."""
-    blank = {"string": F.lit(""), "boolean": F.lit(False)}
-    given = set(pending.columns)
+    """One row per slice to rerun, carrying the state it starts from and where to stop."""
+    zero = {"string": F.lit(""), "boolean": F.lit(False)}
     filler = [
-        blank.get(f.dataType.simpleString(), F.lit(0)).cast(f.dataType).alias(f.name)
+        zero.get(f.dataType.simpleString(), F.lit(0)).cast(f.dataType).alias(f.name)
         for f in rows.schema
-        if f.name not in given
+        if f.name not in pending.columns
     ]
-    return pending.select(*[c for c in rows.columns if c in given], *filler)
+    return pending.select("*", *filler)
 
 
 def _groups(batches, by):
@@ -191,25 +206,38 @@ def _whole_scan(keys, kernel):
 
 def _slice_scan(keys, kernel):
     by = [*keys, SLICE]
-    book = ["_entry", "_exit", "_box"]
+    book = ["_entry", "_exit", "_box", "_cut"]
 
     def run(batches):
         key_types, stream = _peeked(batches, by)
         if key_types is None:
             return
-        types = key_types + [pa.string()] * 3 + [ARROW[t] for t in kernel.fields.values()]
+        types = key_types + [pa.string()] * 3 + [pa.int64()] + [ARROW[t] for t in kernel.fields.values()]
         writer = _Writer([*by, *book, *kernel.fields], types)
         for key, cols in _groups(stream, by):
-            entry = cols.pop("_entry")[0]
+            at = dict(zip(by, key))
+            entry, upto = cols.pop("_entry")[0], cols.pop("_cut")[0]
             if entry is not None:
                 cols = {c: v[1:] for c, v in cols.items()}
-            entry = entry or FRESH
-            state, out = kernel.run(json.loads(entry), cols)
-            at = dict(zip(by, key))
-            box = json.dumps(kernel.box(cols))
-            writer.add(1, **at, _entry=entry, _exit=json.dumps(state), _box=box)
-            if _count(out):
-                writer.add(_count(out), **at, **out)
+            if entry is not None and upto == upto and upto is not None:
+                # Rows before a cut: what follows is known already.
+                state, out = kernel.run(json.loads(entry), cols) if len(cols[US]) else (json.loads(entry), {})
+                parts = (out, kernel.cut_off(state))
+            else:
+                entry = entry or FRESH
+                state, out = kernel.run(json.loads(entry), cols)
+                cut, parts = kernel.cut(cols), (out,)
+                writer.add(
+                    1,
+                    **at,
+                    _entry=entry,
+                    _exit=json.dumps(state),
+                    _box=json.dumps(kernel.box(cols)),
+                    _cut=None if cut is None else int(cols[US][cut]),
+                )
+            for part in parts:
+                if _count(part):
+                    writer.add(_count(part), **at, **part)
             if writer.full():
                 yield writer.take()
         yield writer.take()
@@ -217,6 +245,32 @@ def _slice_scan(keys, kernel):
     return run
 
 
+def _chain_scan(keys, kernel):
+    """Walk the slice summaries of each key in order and decide what each slice still needs."""
+
+    def run(batches):
+        held, want = None, FRESH
+        for batch in batches:
+            rows = batch.to_pylist()
+            for row in rows:
+                key = [row[k] for k in keys]
+                if key != held:
+                    held, want = key, FRESH
+                row["_action"] = "keep"
+                if row["_entry"] != want:
+                    skipped = kernel.skip(json.loads(want), json.loads(row["_box"]))
+                    if skipped is not None:
+                        row["_action"], row["_exit"] = "skip", json.dumps(skipped)
+                    else:
+                        row["_action"] = "run"
+                    row["_entry"] = want
+                want = row["_exit"]
+            fields = [*batch.schema, pa.field("_action", pa.string())]
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(fields))
+
+    return run
+
+
 def _finish_scan(keys, kernel):
     def run(batches):
         key_types, stream = _peeked(batches, keys)
@@ -231,26 +285,3 @@ def _finish_scan(keys, kernel):
             yield writer.take()
 
     return run
-
-
-def _chain(kernel):
-    """Walk one key's slice summaries in order and decide what each slice still needs."""
-
-    def chain(pdf):
-        pdf = pdf.sort_values(SLICE).reset_index(drop=True)
-        want, entries, exits, actions = FRESH, [], [], []
-        for used, left, box in zip(pdf["_entry"], pdf["_exit"], pdf["_box"]):
-            action = "keep"
-            if used != want:
-                skipped = kernel.skip(json.loads(want), json.loads(box))
-                if skipped is None:
-                    action = "run"
-                else:
-                    action, left = "skip", json.dumps(skipped)
-            entries.append(want)
-            exits.append(left)
-            actions.append(action)
-            want = left
-        return pdf.assign(_entry=entries, _exit=exits, _action=actions)
-
-    return chain

@@ -20,6 +20,7 @@ class TierKernel:
 
     dwell_us: int
     columns: tuple = ("wanted",)
+    mark: str = "us"
     fields: dict = field(default_factory=lambda: {"us": "bigint", "tier": "string"})
 
     def run(self, state, cols):
@@ -51,6 +52,15 @@ class TierKernel:
     def finish(self, state):
         return {}
 
+    def cut_off(self, state):
+        return {}
+
+    def cut(self, cols):
+        # Whatever the tier was, it is active after a row that wants active.
+        us = cols[US]
+        hits = np.flatnonzero((cols["wanted"][:-1] == "active") & (us[1:] > us[:-1]))
+        return int(hits[0]) + 1 if len(hits) else None
+
     def box(self, cols):
         wanted = cols["wanted"]
         return str(wanted[0]) if (wanted == wanted[0]).all() else None

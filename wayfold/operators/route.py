@@ -21,6 +21,7 @@ class ThinKernel:
 
     min_m: float
     columns: tuple = ("reading_id", "lat", "lon")
+    mark: str = "us"
     fields: dict = field(
         default_factory=lambda: {"us": "bigint", "reading_id": "string", "lat": "double", "lon": "double"}
     )
@@ -76,6 +77,19 @@ class ThinKernel:
         rows = state["held"] if state["n"] <= 2 else [state["final"]] if state["final"] else []
         return {name: [r[i] for r in rows] for i, name in enumerate(self.fields)}
 
+    def cut_off(self, state):
+        return {}
+
+    def cut(self, cols):
+        # A point two steps away from its predecessor is kept whichever point was kept before. The
+        # one per cent covers the flat distance not being a metric.
+        us, lat, lon = cols[US], cols["lat"], cols["lon"]
+        if len(us) < 3:
+            return None
+        far = np_equirect_m(lat[:-1], lon[:-1], lat[1:], lon[1:]) > 2 * self.min_m * 1.01
+        hits = np.flatnonzero(far & (us[1:] > us[:-1]))
+        return int(hits[0]) + 1 if len(hits) else None
+
     def box(self, cols):
         lat, lon = cols["lat"], cols["lon"]
         ends = [float(lat.min()), float(lat.max()), float(lon.min()), float(lon.max())]

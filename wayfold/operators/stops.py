@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.config import DetectConfig
-from wayfold.functions.geo import np_haversine_m
+from wayfold.functions.geo import haversine, np_haversine_m
 from wayfold.operators.fold import US, fold
 from wayfold.operators.ordered import Slicing, resolve_slicing
 
@@ -16,7 +16,12 @@ KEYS = ["vehicle_id"]
 
 def first_outside(lat, lon, start, at_lat, at_lon, radius):
     """Index of the first point from `start` on that lies beyond radius, or None."""
-    n, step = len(lat), 16
+    n = len(lat)
+    near = min(n, start + 4)
+    for i in range(start, near):
+        if not haversine(at_lat, at_lon, float(lat[i]), float(lon[i])) <= radius:
+            return i
+    start, step = near, 32
     while start < n:
         end = min(n, start + step)
         far = ~(np_haversine_m(at_lat, at_lon, lat[start:end], lon[start:end]) <= radius)
@@ -27,6 +32,15 @@ def first_outside(lat, lon, start, at_lat, at_lon, radius):
     return None
 
 
+def first_jump(us, lat, lon, least):
+    """First row later than the one before it and more than `least` metres away, or None."""
+    if len(us) < 2:
+        return None
+    step = np_haversine_m(lat[:-1], lon[:-1], lat[1:], lon[1:])
+    hits = np.flatnonzero((step > least) & (us[1:] > us[:-1]))
+    return int(hits[0]) + 1 if len(hits) else None
+
+
 def box_of(cols):
     lat, lon = cols["lat"], cols["lon"]
     return [float(lat.min()), float(lat.max()), float(lon.min()), float(lon.max()), int(cols[US][-1])]
@@ -70,6 +84,7 @@ class StopKernel:
     radius: float
     dwell_us: int
     columns: tuple = ("lat", "lon")
+    mark: str = "arrived_us"
     fields: dict = field(
         default_factory=lambda: {
             "arrived_us": "bigint",
@@ -117,6 +132,13 @@ class StopKernel:
     def finish(self, state):
         return _stop_rows([(state["stop"], None)]) if state and "stop" in state else {}
 
+    def cut_off(self, state):
+        return _stop_rows([(state["stop"], state["last"])]) if state and "stop" in state else {}
+
+    def cut(self, cols):
+        # No run holds two points further apart than twice the radius.
+        return first_jump(cols[US], cols["lat"], cols["lon"], 2 * self.radius * (1 + 1e-9))
+
     def box(self, cols):
         return box_of(cols)
 
