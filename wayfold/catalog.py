@@ -846,12 +846,14 @@ def sent_queue(spark, d):
 
 def answers(spark, d):
     sent = sent_queue(spark, d)
-    n = (F.split_part("batch_id", F.lit("-"), F.lit(2)).cast("bigint") + F.split_part("batch_id", F.lit("-"), F.lit(3)).cast("bigint")) % 4
-    outcome = F.when(n == 0, "accepted").when(n == 1, "shed").when(n == 2, "rejected").otherwise("unavailable")
-    outcomes = sent.select("batch_id").distinct().select(
-        "batch_id", outcome.alias("outcome"), F.concat(F.lit("reason "), n).alias("reason")
-    )
-    refused = sent.filter(number_in_queue() % 25 < 5).select("batch_id", ledger.wire_id().alias("id"))
+    part = F.split("batch_id", "-")
+    n = ((part[1].cast("bigint") + part[2].cast("bigint")) % 4).cast("int")
+    kinds = F.array(*[F.lit(kind) for kind in ("accepted", "shed", "rejected", "unavailable")])
+    batches = sent.select("batch_id").distinct().withColumn("n", n)
+    outcomes = batches.select(
+        "batch_id", F.get(kinds, F.col("n")).alias("outcome"), F.concat(F.lit("reason "), "n").alias("reason")
+    )
+    refused = ledger.with_wire_id(sent.filter(number_in_queue() % 25 < 5)).select("batch_id", F.col("wire_id").alias("id"))
     return sent, outcomes, refused
 
 

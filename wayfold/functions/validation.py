@@ -116,10 +116,11 @@ def stop_reason(now) -> Column:
 
 
 def split_valid(df, reason: Column, id_column: str):
-    """(accepted rows, rejected (id, reason) rows); one bad row never costs the others."""
-    judged = df.withColumn("reason", reason)
-    accepted = judged.filter("reason is null").drop("reason")
-    rejected = judged.filter("reason is not null").select(
-        F.coalesce(F.col(id_column), F.lit(NIL_ID)).alias("id"), "reason"
-    )
-    return accepted, rejected
+    """(accepted rows, rejected (id, reason) rows); one bad row never costs the others.
+
+    The rejected side explodes the reason, if any, instead of filtering on it: Spark would otherwise
+    evaluate the whole rule chain twice per row, in a method too long for the JIT compiler.
+    """
+    accepted = df.filter(reason.isNull())
+    found = F.explode(F.array_compact(F.array(reason))).alias("reason")
+    return accepted, df.select(F.coalesce(F.col(id_column), F.lit(NIL_ID)).alias("id"), found)

@@ -38,21 +38,22 @@ def dead_items(dead: DataFrame, limit: int = DEAD_ITEMS_LIMIT, keys: tuple = ("d
     return first_n(dead, list(keys), order, limit, "id", "position")
 
 
-def wire_id():
-    """The id the server knows an item by: its reading's or its stop's, else its own."""
-    return F.coalesce(
-        F.get_json_object("payload", "$.reading_id"), F.get_json_object("payload", "$.event_id"), F.col("id")
-    )
+def with_wire_id(ledger: DataFrame) -> DataFrame:
+    """Add wire_id, the id the server knows an item by: its reading's or its stop's, else its own.
+    The payload is parsed once per row."""
+    ids = F.json_tuple("payload", "reading_id", "event_id").alias("_reading", "_event")
+    found = ledger.select("*", ids).withColumn("wire_id", F.coalesce("_reading", "_event", "id"))
+    return found.drop("_reading", "_event")
 
 
 def resolve_acks(ledger: DataFrame, rejections: DataFrame) -> DataFrame:
     """(batch_id, id, verdict) of items sent in accepted batches. `rejections` names wire ids per
     batch; the two reports of one stop share a wire id, and an item not named was accepted."""
-    refused = rejections.select("batch_id", F.col("id").alias("_wire")).distinct()
+    refused = rejections.select("batch_id", F.col("id").alias("wire_id")).distinct()
     refused = refused.withColumn("_refused", F.lit(True))
-    sent = ledger.select("batch_id", "id", wire_id().alias("_wire"))
+    sent = with_wire_id(ledger.select("batch_id", "id", "payload"))
     verdict = F.when(F.col("_refused"), "rejected").otherwise("accepted").alias("verdict")
-    return sent.join(refused, ["batch_id", "_wire"], "left").select("batch_id", "id", verdict)
+    return sent.join(refused, ["batch_id", "wire_id"], "left").select("batch_id", "id", verdict)
 
 
 def plan_outcomes(

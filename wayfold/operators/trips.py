@@ -45,7 +45,9 @@ def mark_parked(positions: DataFrame, stops: DataFrame, slicing: Slicing) -> Dat
     width = slicing.width_us
     start = F.unix_micros("arrived_at")
     end = F.unix_micros("departed_at")
-    spans = stops.select(*KEYS, start.alias("_start"), end.alias("_end"))
+    # Stated on both inputs, so that the branches of detect_trips share one shuffle.
+    known = F.col("vehicle_id").isNotNull()
+    spans = stops.filter(known).select(*KEYS, start.alias("_start"), end.alias("_end"))
     if slicing.whole:
         pieces = spans.select("*", F.lit(0).cast("bigint").alias(SLICE), F.col("_start").alias("_us"))
     else:
@@ -59,7 +61,7 @@ def mark_parked(positions: DataFrame, stops: DataFrame, slicing: Slicing) -> Dat
             .withColumn("_us", F.greatest(F.col("_start"), F.col(SLICE) * width))
             .drop("_until")
         )
-    samples = positions.select(
+    samples = positions.filter(known).select(
         *KEYS,
         slicing.column("recorded_at").alias(SLICE),
         F.unix_micros("recorded_at").alias("_us"),
