@@ -606,6 +606,18 @@ def telemetry_stops(spark, d):
     return found.select("device_id", us("arrived_at"), us("departed_at"), "lat", "lon")
 
 
+@query
+def ingest_response(spark, d):
+    """Accepted readings and stops per device, faulty readings aside."""
+    moved = F.concat(F.lit("dev-"), "vehicle_id")
+    readings = flawed_readings(spark, d).withColumn("device_id", moved)
+    good, _ = validation.split_valid(
+        readings, validation.reading_reason(moment(fx.EPOCH_US + 24 * HOUR)), "reading_id"
+    )
+    found = wire.ingest_response(good, emissions(spark, d).withColumn("device_id", moved))
+    return found.select("device_id", big("accepted"), big("accepted_stops"))
+
+
 @query
 def clock_offsets(spark, d):
     n = n_of()

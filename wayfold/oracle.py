@@ -411,6 +411,11 @@ SELECT * FROM j WHERE reason IS NOT NULL""",
     "telemetry_batches": q(READINGS),
     "telemetry_stops": q(CLIENT, "SELECT 'dev-' || vehicle_id AS device_id, arrived_us, departed_us, lat, lon FROM emitted"),
     "ingest_stream": q("SELECT reading_id, us AS recorded_us, lat, CAST(battery_pct AS BIGINT) AS battery_pct FROM pos"),
+    "ingest_response": q(
+        JUDGED, CLIENT,
+        "SELECT 'dev-' || vehicle_id AS device_id, CAST(sum(r) AS BIGINT) AS accepted, CAST(sum(s) AS BIGINT) AS accepted_stops FROM ("
+        "SELECT vehicle_id, 1 AS r, 0 AS s FROM judged WHERE reason IS NULL UNION ALL SELECT vehicle_id, 0, 1 FROM emitted) GROUP BY 1",
+    ),
     "clock_offsets": q(
         "SELECT 'dev-' || vehicle_id AS device_id, count(*) AS batches, round(avg((received_us - us - 250000) // 1000), 3) AS mean_offset_ms "
         "FROM pos WHERE event_id % 5 <> 0 GROUP BY 1"
