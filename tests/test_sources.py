@@ -78,7 +78,7 @@ def test_one_bad_row_does_not_cost_the_others(spark):
 def test_position_files_prune_by_date(spark, tmp_path):
     path = str(tmp_path / "positions")
     p = track(spark, [(0, 0), (86_400, 1), (2 * 86_400, 2)])
-    tables.append_positions(p, path, files_per_date=2)
+    tables.append_positions(p, path, files=2)
     day = dt.timedelta(days=1)
     found = tables.read_positions(spark, path, at(0) + day, at(0) + day + dt.timedelta(hours=1))
     assert [r["reading_id"] for r in found.collect()] == ["00000001"]

@@ -13,13 +13,12 @@ from wayfold import schema
 DATE = "recorded_date"
 
 
-def append_positions(rows: DataFrame, path: str, files_per_date: int | None = None) -> None:
-    """Append positions. With files_per_date, rows of a date are spread over that many files by
-    vehicle hash, so a backlog or one busy date does not become one task."""
+def append_positions(rows: DataFrame, path: str, files: int | None = None) -> None:
+    """Append positions. With `files`, rows are first ranged over that many tasks by date, vehicle and
+    time: tasks are even however the rows fall, and a file holds few vehicles."""
     out = rows.withColumn(DATE, F.to_date("recorded_at"))
-    if files_per_date:
-        spread = F.pmod(F.xxhash64("reading_id"), F.lit(files_per_date))
-        out = out.repartition(DATE, spread)
+    if files:
+        out = out.repartitionByRange(files, DATE, "vehicle_id", "recorded_at")
     out = out.sortWithinPartitions(DATE, "vehicle_id", "recorded_at")
     out.write.mode("append").partitionBy(DATE).parquet(path)
 
