@@ -148,3 +148,20 @@ def test_literal_tracks(spark, name):
         assert trips.agg(F.max("distance_m")).first()[0] < 1000
     if name == "simple stop":
         assert stops.first()["departed_at"] is None
+
+
+@pytest.mark.parametrize("slicing", [None, WHOLE, Slicing(60_000_000)], ids=["measured", "whole", "sliced"])
+def test_no_positions(spark, slicing):
+    none = track(spark, [(0, 0)]).filter("false")
+    trips, stops = detect(none, slicing=slicing)
+    assert (trips.count(), stops.count()) == (0, 0)
+    assert detect_client_stops(none, slicing=slicing).count() == 0
+
+
+def test_silent_parked_vehicle_is_one_stop_over_empty_slices(spark):
+    samples = [(0, 0), (30, 0), (60, 0), (90, 0), (120, 0), (90_000, 3), (180_000, 5), (180_030, 900), (180_060, 1800)]
+    for slicing in (WHOLE, Slicing(3_600_000_000)):
+        trips, stops = detect(track(spark, samples), slicing=slicing)
+        rows = stops.select(sec("arrived_at"), sec("departed_at")).collect()
+        assert [tuple(r) for r in rows] == [(0, 180_000)]
+        assert [tuple(r) for r in trips.select(sec("started_at"), sec("ended_at")).collect()] == [(180_030, 180_060)]

@@ -85,7 +85,7 @@ def _same_id_range(spark: SparkSession, path: str, batch: DataFrame) -> DataFram
     stored = spark.read.schema(f"{schema.POSITIONS}, {DATE} date").parquet(path)
     low, high = batch.agg(F.min("reading_id"), F.max("reading_id")).first()
     if low is None:
-        return stored.limit(0)
+        return stored.filter(F.lit(False))
     return stored.filter(F.col("reading_id").between(low, high))
 
 
