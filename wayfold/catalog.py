@@ -128,7 +128,11 @@ def parked_samples(spark, d):
 def sample_steps(spark, d):
     found = trips.with_steps(fx.positions(spark, d), fx.slicing(spark, d))
     return found.select(
-        "vehicle_id", "reading_id", metres("gap_seconds"), metres("step_m"), metres("step_mps")
+        "vehicle_id",
+        "reading_id",
+        F.round(F.col("gap_seconds") * 1e6).cast("bigint").alias("gap_us"),
+        metres("step_m"),
+        metres("step_mps"),
     )
 
 

@@ -256,7 +256,7 @@ ORACLE = {
         "l AS (SELECT *, lag(us) OVER v AS p_us, lag(lat) OVER v AS p_lat, lag(lon) OVER v AS p_lon FROM pos "
         "WINDOW v AS (PARTITION BY vehicle_id ORDER BY us, reading_id)), "
         f"d AS (SELECT *, (us - p_us) / 1e6 AS gap, {hav('p_lat', 'p_lon', 'lat', 'lon')} AS step FROM l)",
-        "SELECT vehicle_id, reading_id, round(gap, 3) AS gap_seconds, round(step, 3) AS step_m, "
+        "SELECT vehicle_id, reading_id, us - p_us AS gap_us, round(step, 3) AS step_m, "
         "round(CASE WHEN gap > 0 THEN step / gap END, 3) AS step_mps FROM d",
     ),
     "client_stop_detection": q(CLIENT, EMISSIONS),
