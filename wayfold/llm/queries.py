@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfold.llm import bpe, tokenfile
 from wayfold.llm import decontaminate as decontamination
+from wayfold.llm.store import shared_folder, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +33,30 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        tokenizer = file.read()
+    folder = shared_folder(spark, "tokens")
+    tokenfile.write_token_files(table(spark, sf_dir, "documents"), folder, tokenizer, end_id=0)
+    read = tokenfile.read_token_files(spark, folder)
+    digests = written(read.select("part", "before", "doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32")), "digests")
+    return tokenfile.with_starts(digests).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.decode(bpe.encode(docs, ranks).drop("text"), ranks)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        sha256(bpe.ids_text(F.col("ids"))).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op3_decontamination": op3_decontamination,
+    "op8_token_files": op8_token_files,
+    "op9_byte_bpe": op9_byte_bpe,
 }
