@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import bpe, tokenfile
+from wayfold.llm import bpe, neardup, tokenfile
 from wayfold.llm import decontaminate as decontamination
 from wayfold.llm.store import shared_folder, written
 
@@ -33,6 +33,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
         tokenizer = file.read()
@@ -57,6 +61,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_decontamination": op3_decontamination,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_token_files": op8_token_files,
     "op9_byte_bpe": op9_byte_bpe,
 }
