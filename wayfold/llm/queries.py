@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import bpe, neardup, tokenfile
+from wayfold.llm import bpe, linededup, neardup, tokenfile
 from wayfold.llm import decontaminate as decontamination
 from wayfold.llm.store import shared_folder, written
 
@@ -59,9 +59,20 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = linededup.mark_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return marked.select(
+        "doc_id",
+        F.col("_n_lines").cast("long").alias("n_lines"),
+        (F.col("_n_lines") - F.size("_kept")).cast("long").alias("n_dropped"),
+        sha256(F.array_join("_kept", "\n")).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_token_files": op8_token_files,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_line_dedup": op10_line_dedup,
 }
