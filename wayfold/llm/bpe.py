@@ -25,7 +25,7 @@ from wayfold.llm.split import match_starts
 SEAMS = 1 << 20
 #: Bytes beyond which a piece is encoded alone.
 LONG = 256
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -260,32 +260,37 @@ class Decoder:
         return np.concatenate([[0], np.cumsum((self.bounds[1:] - self.bounds[:-1])[ids])])
 
 
-def _add_columns(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*batch.columns, *new.values()], [*batch.schema.names, *new])
-
-
 def _quoted(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], *, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with a column of token ids. A null or empty text has no ids; repeated rows are encoded row by row."""
+def encode(docs: DataFrame, ranks: dict[bytes, int], *, text: str = "text", ids: str = "ids", keep: list[str] | None = None, decoded: str | None = None) -> DataFrame:
+    """The columns keep (all by default) with a column of token ids, and the bytes of these ids if decoded names a column.
+
+    A null or empty text has no ids; repeated rows are encoded row by row.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(compile_ranks(ranks))
+    keep = docs.columns if keep is None else keep
+    names = [*keep, ids, *([decoded] if decoded else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
+        decoder = once(f"decoder {vocabulary['name']}", lambda: Decoder({i: t for t, i in vocabulary["tokens"].items()}))
         for batch in batches:
-            values, sizes = [], []
-            for _, _, data, offsets in text_blocks(batch.column(batch.schema.get_field_index(text)), BLOCK):
+            kept = batch.select(keep)
+            for first, last, data, offsets in text_blocks(batch.column(text), BLOCK):
                 found, bounds = encode_block(data, offsets, lambda new, at: encode_pieces(vocabulary, new, at))
-                values.append(found)
-                sizes.append(np.diff(bounds))
-            sizes = np.concatenate([[0], *sizes]).astype(np.int64)
-            flat = np.concatenate(values) if values else np.zeros(0, np.uint32)
-            column = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(flat.astype(np.int32)))
-            yield _add_columns(batch, {ids: column})
+                columns = [*kept.slice(first, last - first).columns]
+                columns.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(found.astype(np.int32))))
+                if decoded:
+                    raw = decoder.decode(found)
+                    at = decoder.bounds_of(found)[bounds]
+                    columns.append(pa.Array.from_buffers(pa.binary(), last - first, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(raw)]))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, f"{_quoted(docs)}, `{ids}` array<int>")
+    rows = docs.select(*keep, *([] if text in keep else [text]))
+    kinds = f"{_quoted(docs.select(*keep))}, `{ids}` array<int>" + (f", `{decoded}` binary" if decoded else "")
+    return rows.mapInArrow(run, kinds.removeprefix(", "))
 
 
 def decode(docs: DataFrame, ranks: dict[bytes, int], *, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -302,7 +307,8 @@ def decode(docs: DataFrame, ranks: dict[bytes, int], *, ids: str = "ids", decode
                 raise ValueError("an id that the vocabulary does not have")
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 values.append(decoder.decode(flat[a:b]).tobytes())
-            yield _add_columns(batch, {decoded: pa.array(values, pa.binary())})
+            columns = [*batch.columns, pa.array(values, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, decoded])
 
     return docs.mapInArrow(run, f"{_quoted(docs)}, `{decoded}` binary")
 

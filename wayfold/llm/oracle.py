@@ -2,6 +2,19 @@
 
 ORACLE: dict[str, str] = {}
 
+# Groups of equal payloads; of large ones the largest id is the response.
+ORACLE["op2_warc_archive"] = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), g AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS responder FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> responder THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> responder THEN responder END AS refers_to
+FROM g
+"""
+
 # Keys of whole lines, the smallest document of each, and the texts put together again.
 ORACLE["op10_line_dedup"] = """
 WITH split AS (

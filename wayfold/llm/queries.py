@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import bpe, linededup, neardup, tokenfile
+from wayfold.llm import bpe, linededup, neardup, tokenfile, urlfilter, warc
 from wayfold.llm import decontaminate as decontamination
 from wayfold.llm.store import shared_folder, written
 
@@ -33,6 +33,26 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Verdict, host and path of the rules that urls are judged by and that label pages for the rest.
+URL_RULES = [
+    ("block", "net", "/"),
+    ("allow", "example.net", "/en/"),
+    ("block", "example.com", "/de/"),
+    ("allow", "org", "/fr/"),
+]
+
+
+def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "archive")
+    warc.write_archive(table(spark, sf_dir, "pages"), folder)
+    return warc.payload_facts(warc.read_records(spark, folder))
+
+
+def op4_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urlfilter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template")
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -49,8 +69,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs, ranks).drop("text"), ranks)
+    coded = bpe.encode(table(spark, sf_dir, "documents"), ranks, keep=["doc_id"], decoded="decoded")
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -70,7 +89,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_warc_archive": op2_warc_archive,
     "op3_decontamination": op3_decontamination,
+    "op4_url_templates": op4_url_templates,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_token_files": op8_token_files,
     "op9_byte_bpe": op9_byte_bpe,

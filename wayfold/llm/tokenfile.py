@@ -23,12 +23,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfold.llm.arrays import once, text_blocks
-from wayfold.llm.bpe import BLOCK, encode_block
+from wayfold.llm.bpe import encode_block
 
 #: Ids in a frame and in a file; one longer document makes a longer frame or file.
 FRAME_IDS = 1 << 16
 FILE_IDS = 1 << 24
 LEVEL = 3
+#: Bytes of text encoded at once, and of ids read at once.
+BLOCK = 4 << 20
 #: Pieces whose ids a Python worker remembers.
 MEMO = 1 << 17
 
