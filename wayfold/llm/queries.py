@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import bpe, linededup, neardup, tokenfile, urlfilter, warc
+from wayfold.llm import bpe, linededup, neardup, tokencount, tokenfile, urlfilter, warc
 from wayfold.llm import decontaminate as decontamination
 from wayfold.llm.store import shared_folder, written
 
@@ -53,15 +53,22 @@ def op4_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "template")
 
 
+def tokenizer_file(name: str) -> str:
+    with open(public_tokenizers.path(name), encoding="utf-8") as file:
+        return file.read()
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), keep=["doc_id"])
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
-        tokenizer = file.read()
     folder = shared_folder(spark, "tokens")
-    tokenfile.write_token_files(table(spark, sf_dir, "documents"), folder, tokenizer, end_id=0)
+    tokenfile.write_token_files(table(spark, sf_dir, "documents"), folder, tokenizer_file("byte_bpe_50k.json"), end_id=0)
     read = tokenfile.read_token_files(spark, folder)
     digests = written(read.select("part", "before", "doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32")), "digests")
     return tokenfile.with_starts(digests).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -92,6 +99,7 @@ QUERIES = {
     "op2_warc_archive": op2_warc_archive,
     "op3_decontamination": op3_decontamination,
     "op4_url_templates": op4_url_templates,
+    "op6_token_counts": op6_token_counts,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_token_files": op8_token_files,
     "op9_byte_bpe": op9_byte_bpe,
