@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import bpe, linededup, neardup, tokencount, tokenfile, urlfilter, warc
+from wayfold.llm import bpe, linededup, neardup, quality, tokencount, tokenfile, urlfilter, warc
 from wayfold.llm import decontaminate as decontamination
 from wayfold.llm.store import shared_folder, written
 
@@ -53,6 +53,10 @@ def op4_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "template")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_file(name: str) -> str:
     with open(public_tokenizers.path(name), encoding="utf-8") as file:
         return file.read()
@@ -99,6 +103,7 @@ QUERIES = {
     "op2_warc_archive": op2_warc_archive,
     "op3_decontamination": op3_decontamination,
     "op4_url_templates": op4_url_templates,
+    "op5_quality_rules": op5_quality_rules,
     "op6_token_counts": op6_token_counts,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_token_files": op8_token_files,
