@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import bpe, linededup, neardup, quality, tokencount, tokenfile, urlfilter, warc
+from wayfold.llm import bpe, linededup, neardup, quality, tokencount, tokenfile, toxicity, urlfilter, warc
 from wayfold.llm import decontaminate as decontamination
 from wayfold.llm.store import shared_folder, written
 
@@ -33,6 +33,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 #: Verdict, host and path of the rules that urls are judged by and that label pages for the rest.
 URL_RULES = [
     ("block", "net", "/"),
@@ -100,6 +106,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_warc_archive": op2_warc_archive,
     "op3_decontamination": op3_decontamination,
     "op4_url_templates": op4_url_templates,
