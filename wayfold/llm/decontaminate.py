@@ -170,13 +170,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "docum
     else:
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema)
 
+        columns_in = inner.columns
+
         def cut(batches):
             for batch in batches:
                 texts, spans = batch.column(body).to_pylist(), batch.column("spans").to_pylist()
                 at = batch.schema.get_field_index(body)
-                columns = [batch.column(c) for c in inner.columns]
+                columns = [batch.column(c) for c in columns_in]
                 columns[at] = pa.array([_cut(t, s) for t, s in zip(texts, spans)], pa.string())
-                yield pa.RecordBatch.from_arrays(columns, names=inner.columns)
+                yield pa.RecordBatch.from_arrays(columns, names=columns_in)
 
         kept = found.select(*inner.columns, "spans").mapInArrow(cut, kinds)
     return kept.select([F.col(f"_c{i}").alias(n) for i, n in enumerate(names)])
