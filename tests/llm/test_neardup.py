@@ -43,10 +43,7 @@ def family(words):
     return texts
 
 
-@pytest.mark.parametrize("thin", [{}, {"PAIRS_A_ROW": -1}])
-def test_groups_equal_brute_force(documents, family, thin, monkeypatch):
-    for name, value in thin.items():
-        monkeypatch.setattr(neardup, name, value)
+def test_groups_equal_brute_force(documents, family):
     rows = sorted(neardup.near_duplicates(documents(family)).collect(), key=lambda r: r.doc_id)
     assert [(r.n_shingles, r.component_id) for r in rows] == plain(family)
     assert all(r.kept == (r.component_id == r.doc_id) for r in rows)

@@ -8,33 +8,25 @@ from pyspark.sql import functions as F
 from wayfold.llm.store import written
 
 
-def _summary(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))).alias("h")).first()
-    return row["n"], row["h"]
-
-
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every id in links (a, b): component is the smallest id reachable. Empty links give no rows.
 
-    Alternates two steps until nothing changes: each id hands its larger neighbours to its smallest one, then each id
-    hands its smaller neighbours to its smallest one. That ends with every id linked to its component's smallest id, after
-    about log(n) rounds. No step gathers an id's neighbours: each needs only their minimum.
+    Each round an id takes the smallest component among its own and its neighbours', then the component of that id, so
+    that distances halve; it ends when nothing gets smaller. No step gathers an id's neighbours: each needs only their
+    minimum, and the joins read written tables on both sides, so an id with very many neighbours can be split.
     """
-    edges = links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = written(edges, "links")
-    before = _summary(edges)
-    while before[0]:
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # Written first: a join with an aggregate could not split an id with many neighbours.
-        least = written(both.groupBy("a").agg(F.min("b").alias("m")), "least").select("a", F.least("a", "m").alias("m"))
-        larger = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
-        edges = written(larger.distinct(), "links")
-        least = written(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
-        moved = edges.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = written(moved.union(least.toDF("a", "b")).distinct(), "links")
-        after = _summary(edges)
-        if after == before:
-            break
-        before = after
-    heads = edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(heads)
+    pairs = links.where("a != b").select("a", "b").distinct()
+    both = written(pairs.union(pairs.select("b", "a")), "links")
+    start = F.least(F.col("a"), F.min("b"))
+    labels = written(both.groupBy("a").agg(start.alias("component")).withColumnRenamed("a", "id"), "labels")
+    before = None
+    while True:
+        heard = both.join(labels.toDF("b", "component"), "b").select(F.col("a").alias("id"), "component")
+        nearer = written(heard.union(labels).groupBy("id").agg(F.min("component").alias("component")), "nearer")
+        heads = nearer.toDF("component", "head")
+        jumped = nearer.join(heads, "component").select("id", F.col("head").alias("component"))
+        labels = written(jumped, "labels")
+        total = labels.agg(F.sum(F.col("component").cast("decimal(38,0)")).alias("t")).first()["t"]
+        if total == before:
+            return labels
+        before = total

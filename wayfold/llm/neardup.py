@@ -24,11 +24,11 @@ SHINGLE = 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
 #: Buckets of a document's shingles, and hash functions applied to each bucket.
-BUCKETS, SEEDS = 16, 22
+BUCKETS, SEEDS = 16, 14
 #: Mantissa bits of a register; the leading-zero count takes the other six.
 MANTISSA = 10
-#: Registers in a band. 50 bands of 7 miss a pair at the threshold with probability (1 - 0.85 ** 7) ** 50 = 4e-9.
-ROWS = 7
+#: Registers in a band. 37 bands of 6 miss a pair at the threshold with probability (1 - 0.85 ** 6) ** 37 = 2e-8.
+ROWS = 6
 BANDS = BUCKETS * SEEDS // ROWS
 #: Candidates whose estimate is below this are not compared; an estimate at the threshold has a deviation of 0.02.
 FLOOR = 0.6
@@ -36,9 +36,8 @@ FLOOR = 0.6
 SMALLEST = 6
 #: Bits of the filter that says which documents' sets are wanted.
 FILTER_BITS = 1 << 24
-#: Rows of pairs for each row in unsettled bands up to which all pairs between different groups are compared at once.
-PAIRS_A_ROW = 4
-ROUNDS = 6
+#: Counters that order shingles by how common they are.
+COUNTERS = 1 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
@@ -145,17 +144,16 @@ def sketch(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def bands(sketches: DataFrame) -> DataFrame:
-    """(band key, id, n) for each band of each sketch."""
+    """(band key, id) for each band of each sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16)
+            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16)
             keys, held = band_keys(raw.reshape(-1, SEEDS * BUCKETS))
-            columns = [keys[held]]
-            columns += [np.repeat(batch.column(c).to_numpy(zero_copy_only=False), held.sum(axis=1)) for c in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["band", "id", "n"])
+            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), held.sum(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[held], pa.int64()), pa.array(ids, pa.int64())], names=["band", "id"])
 
-    return sketches.select("doc_id", "n_shingles", "registers").mapInArrow(run, "band long, id long, n long")
+    return sketches.select("doc_id", "registers").mapInArrow(run, "band long, id long")
 
 
 def similar_sizes(n: Column, m: Column) -> Column:
@@ -164,7 +162,7 @@ def similar_sizes(n: Column, m: Column) -> Column:
 
 
 def promising(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose estimate may reach the threshold."""
+    """The pairs (a, b) whose sizes and estimate may reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,30 +172,49 @@ def promising(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
     side = sketches.select("doc_id", "n_shingles", "registers")
     joined = pairs.join(side.toDF("a", "n_a", "r_a"), "a").join(side.toDF("b", "n_b", "r_b"), "b")
-    return joined.select("a", "b", "r_a", "r_b", "n_a", "n_b").mapInArrow(run, "a long, b long")
+    joined = joined.where(similar_sizes(F.col("n_a"), F.col("n_b")))
+    return joined.select("a", "b", "r_a", "r_b", "n_a", "n_b").mapInArrow(run, "a long, b long").distinct()
+
+
+def _filter_bit(column: Column) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
 
 
 def _filter_words(ids: DataFrame) -> np.ndarray:
     """A bit for each hashed id, of a size that does not depend on how many there are."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    words = ids.select(bit.alias("bit")).selectExpr("CAST(bit DIV 64 AS INT) AS w", "shiftleft(1L, CAST(bit % 64 AS INT)) AS m")
+    words = ids.select(_filter_bit(F.col("id")).alias("bit")).selectExpr("CAST(bit DIV 64 AS INT) AS w", "shiftleft(1L, CAST(bit % 64 AS INT)) AS m")
+    found = words.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
     out = np.zeros(FILTER_BITS // 64, np.uint64)
-    for row in words.groupBy("w").agg(F.bit_or("m").alias("m")).toLocalIterator():
-        out[row["w"]] = np.uint64(row["m"] & 0xFFFFFFFFFFFFFFFF)
+    out[found.column("w").to_numpy()] = found.column("m").to_numpy().view(np.uint64)
     return out
 
 
+def _maybe(words: np.ndarray, bits: pa.Array) -> pa.Array:
+    at = bits.to_numpy(zero_copy_only=False)
+    return pa.array((words[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1) == 1)
+
+
+def only_ids(sketches: DataFrame, ids: DataFrame) -> DataFrame:
+    """The sketches of the documents in ids. A fixed-size filter drops most others before the exact join moves anything."""
+    wanted = sketches.sparkSession.sparkContext.broadcast(_filter_words(ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(_maybe(wanted.value, batch.column(0))).select(["doc_id", "n_shingles", "registers"])
+
+    rows = sketches.select(_filter_bit(F.col("doc_id")).alias("bit"), "doc_id", "n_shingles", "registers")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, registers binary").join(ids.toDF("doc_id"), "doc_id", "left_semi")
+
+
 def full_sets(docs: DataFrame, doc_id: str, text: str, ids: DataFrame) -> DataFrame:
     """(id, shingles) of the documents in ids. A fixed-size filter spares most other texts; the join is exact."""
     spark = docs.sparkSession
     wanted = spark.sparkContext.broadcast(_filter_words(ids))
-    bit = F.pmod(F.xxhash64(F.col(doc_id).cast("long")), F.lit(FILTER_BITS))
+    bit = _filter_bit(F.col(doc_id).cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = wanted.value
         for batch in batches:
-            at = batch.column(2).to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array((words[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1) == 1))
+            batch = batch.filter(_maybe(wanted.value, batch.column(2)))
             for first, last, data, offsets in text_blocks(batch.column(1)):
                 sets = [s.tobytes() for s in shingle_sets(data, offsets)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(sets, pa.binary())], names=["id", "shingles"])
@@ -226,63 +243,94 @@ def _mixed(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Band rows with the group g each id is in so far, of the bands that still hold several groups."""
     marked = rows.join(groups, "id", "left").withColumn("g", F.coalesce("component", "id")).drop("component")
     mixed = marked.groupBy("band").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("band")
-    return written(marked.join(written(mixed, "mixed"), "band"), "bands")
+    return marked.join(written(mixed, "mixed"), "band")
 
 
-def _pairs_left(rows: DataFrame) -> tuple[float, float]:
-    """Rows, and pairs of different groups in one band."""
-    group = rows.groupBy("band", "g").agg(F.count("*").cast("double").alias("n"))
-    band = group.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("q"))
-    row = band.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("q")) / 2).alias("p")).first()
-    return row["n"] or 0, row["p"] or 0
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
 
-def _hubs(rows: DataFrame, turn: int) -> DataFrame:
-    """One row (b, m, h) of each band with several groups: the least id at first, then another by a hash."""
-    rank = F.col("id") if not turn else F.xxhash64("id", F.lit(turn))
-    hub = F.struct(rank.alias("r"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("g").alias("h"))
-    found = rows.groupBy("band").agg(F.min(hub).alias("x"), F.min("g").alias("lo"), F.max("g").alias("hi"))
-    return written(found.where("lo < hi").select("band", "x.b", "x.m", "x.h"), "hubs")
+def _rare_first(shingles: np.ndarray, counters: np.ndarray) -> np.ndarray:
+    """The shingles that a linked set must share one of: enough of the rarest that the rest alone could not reach the threshold."""
+    common = counters[(shingles & np.uint64(COUNTERS - 1)).astype(np.int64)]
+    size = len(shingles) - -(-PERCENT * len(shingles) // 100) + 1
+    return shingles[np.lexsort((shingles, common))[:size]]
+
+
+def _rare_pairs(sets: DataFrame, marks: DataFrame) -> DataFrame:
+    """Pairs of different groups that share one of their rarest shingles: all that can be linked, and few others.
+
+    Any fixed order of shingles makes this exact. Ordering by how common they are among these documents keeps pairs away
+    that share only what many share.
+    """
+
+    def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for s in batch.column(0):
+                np.add.at(total, (np.frombuffer(s.as_py(), np.uint64) & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+        slots = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(total[slots], pa.int64())], names=["slot", "c"])
+
+    found = sets.select("shingles").mapInArrow(counting, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()
+    counters = np.zeros(COUNTERS, np.int64)
+    counters[found.column("slot").to_numpy()] = found.column("c").to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(counters)
+
+    def choosing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets_of = [np.frombuffer(s.as_py(), np.uint64) for s in batch.column(1)]
+            rare = [_rare_first(s, shared.value) for s in sets_of]
+            counts = [len(r) for r in rare]
+            columns = [np.concatenate([np.zeros(0, np.uint64), *rare]).view(np.int64)]
+            columns += [np.repeat(x, counts) for x in (batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False), [len(s) for s in sets_of])]
+            columns.append(np.concatenate([np.zeros(0, np.int64), *[np.arange(c) for c in counts]]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["shingle", "id", "g", "n", "i"])
+
+    rows = sets.join(marks, "id").select("id", "shingles", "g").mapInArrow(choosing, "shingle long, id long, g long, n long, i long")
+    several = rows.groupBy("shingle").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("shingle")
+    rows = written(rows.join(written(several, "several"), "shingle"), "rare")
+    other = rows.toDF("shingle", "other", "h", "m", "j")
+    # What the two share from this shingle on bounds the intersection, if it is the first they share; later ones bound less.
+    most = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
+    enough = (100 + PERCENT) * most >= PERCENT * (F.col("n") + F.col("m"))
+    both = rows.join(other, "shingle").where((F.col("id") > F.col("other")) & (F.col("g") != F.col("h")) & similar_sizes(F.col("n"), F.col("m")) & enough)
+    return both.select(*_ordered("id", "other")).distinct()
 
 
 def link_groups(docs: DataFrame, doc_id: str, text: str, sketches: DataFrame) -> DataFrame:
     """(id, component) of the ids of sketches that are linked to another one, directly or not.
 
-    A band's rows are first compared with one of them only, which joins most of a large group of near copies at a cost in
-    proportion to its rows. Pairs that matter after that lie in different groups of one band. While they are many, each
-    band is compared with another of its rows; then all that are left are compared. No pair of one band is left out unless
-    both documents already are in one group.
+    A band's rows are first compared with the one of them that meets most others, which joins most of a large group of
+    near copies at a cost in proportion to its rows. What can matter after that are pairs of different
+    groups of one band. The documents of such bands are paired by their rarest shingles instead, which finds every link
+    between them without a band's rows all meeting each other.
     """
     sparse = sketches.where(F.col("registers").isNotNull())
-    rows = bands(sparse).withColumn("g", F.col("id"))
-    pairs = links = groups = None
-    for turn in range(ROUNDS + 1):
-        last = False
-        if turn:
-            rows = _mixed(rows.drop("g"), groups)
-            n_rows, n_pairs = _pairs_left(rows)
-            if not n_pairs:
-                break
-            last = n_pairs <= PAIRS_A_ROW * n_rows or turn == ROUNDS
-        if last:
-            other = rows.select("band", F.col("id").alias("b"), F.col("n").alias("m"), F.col("g").alias("h"))
-            both = rows.join(other, "band").where("id > b AND g != h")
-        else:
-            both = rows.join(_hubs(rows, turn), "band")
-            if not turn:
-                rows = written(both.select("band", "id", "n", "g"), "bands")
-            both = both.where("g != h")
-        new = both.where(similar_sizes(F.col("n"), F.col("m"))).select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
-        new = written(new if pairs is None else new.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        pairs = new if pairs is None else pairs.union(new)
-        hopeful = written(promising(new, sparse), "promising")
-        ids = written(hopeful.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-        found = written(confirmed(hopeful, written(full_sets(docs, doc_id, text, ids), "sets")), "confirmed")
-        links = found if links is None else links.union(found)
-        groups = written(components(links), "groups")
-        if last:
-            break
-    return groups
+    rows = bands(sparse)
+    several = rows.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    rows = written(rows.join(written(several.select("band", "n"), "several"), "band"), "bands")
+    # The row that shares its bands with most others is the likeliest to be what the others were copied from.
+    rank = F.struct(F.col("met"), (-F.col("id")).alias("id"))
+    met = written(rows.groupBy("id").agg(F.sum("n").alias("met")), "met")
+    hubs = rows.join(met, "id").groupBy("band").agg((-F.max(rank)["id"]).alias("hub"))
+    rows = rows.select("band", "id")
+    stars = rows.join(written(hubs, "hubs"), "band").where("id != hub")
+    near = written(only_ids(sparse, met.select("id")), "near")
+
+    def verified(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+        hopeful = written(promising(pairs, near), "promising")
+        if sets is None:
+            ids = written(hopeful.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+            sets = written(full_sets(docs, doc_id, text, ids), "sets")
+        return written(confirmed(hopeful, sets), "confirmed")
+
+    links = verified(stars.select(*_ordered("id", "hub")).distinct())
+    groups = components(links)
+    marks = written(_mixed(rows, groups).select("id", "g").distinct(), "marks")
+    sets = written(full_sets(docs, doc_id, text, marks.select("id")), "sets")
+    links = links.union(verified(_rare_pairs(sets, marks), sets))
+    return components(links)
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -296,7 +344,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     sketches = written(sketch(docs, doc_id, text), "sketches")
     named = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
     sets = written(named.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    firsts = named.join(sets.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"])
+    firsts = named.join(sets.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi")
     groups = link_groups(docs, doc_id, text, written(firsts, "firsts"))
     heads = sets.join(groups, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("head"))
     rows = sketches.select("doc_id", "n_shingles", "digest").join(written(heads, "heads"), "digest", "left")
