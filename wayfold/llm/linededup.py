@@ -122,7 +122,8 @@ def mark_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", b
     because of the others.
     """
     spark = docs.sparkSession
-    cuts = docs.select(F.col(doc_id).cast("double").alias("d")).approxQuantile("d", [k / batches for k in range(1, batches)], 0.01)
+    shares = [k / batches for k in range(1, batches)]
+    cuts = docs.select(F.col(doc_id).cast("double").alias("d")).approxQuantile("d", shares, 0.01) if shares else []
     number = sum([(F.col("doc") > cut).cast("int") for cut in cuts], F.lit(0))
     path = shared_folder(spark, "lines")
     hashed_lines(docs, doc_id, text).withColumn("batch", number).write.partitionBy("batch").parquet(path)

@@ -94,8 +94,8 @@ def discounts(grams: DataFrame) -> DataFrame:
     """(lang, d1, d2, d3): the three discounts of each language, from how many n-grams have counts one to four."""
     n = [F.sum((F.col("c") == k).cast("long")).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
     by = grams.groupBy(_language().alias("lang")).agg(*n)
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-    found = [k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}") for k in (1, 2, 3)]
+    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
+    found = [k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}")) for k in (1, 2, 3)]
     # Too few n-grams to tell: half of what a count at least is.
     ok = [F.when((d > 0) & (d < k), d).otherwise(k / 2).alias(f"d{k}") for k, d in zip((1, 2, 3), found)]
     return by.select("lang", *ok)

@@ -91,8 +91,8 @@ def template_verdicts(labelled: DataFrame) -> DataFrame:
     sums = [F.sum(c).alias(c) for c in ("n", "labels", "bad")]
     below = F.regexp_replace("template", r"^/[^/]*", "")
     branches = paths.groupBy("host", "template").agg(*sums).withColumn("below", below)
-    siblings = written(branches.groupBy("host", "below").agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "labels", "bad")]), "siblings")
-    alike = _near("labels", "n", "all_labels", "all_n") & _near("bad", "labels", "all_bad", "all_labels") & (F.col("template") != "")
+    siblings = written(branches.groupBy("host", "below").agg(F.count("*").alias("siblings"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "labels", "bad")]), "siblings")
+    alike = _near("labels", "n", "all_labels", "all_n") & _near("bad", "labels", "all_bad", "all_labels") & (F.col("template") != "") & (F.col("siblings") > 1)
     branches = written(branches.join(siblings, ["host", "below"]), "branches")
     merged = F.when(alike, F.concat(F.lit("/*"), "below")).otherwise(F.col("template"))
     branches = branches.select("host", "template", merged.alias("merged"), "n", "labels", "bad")
