@@ -157,10 +157,12 @@ def client_stop_stream(spark, d):
     """The streaming detector over the same fixes, arriving as deliveries in time order."""
     root = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4()}"
     p = materialise(fx.positions(spark, d))
-    files = 4
-    for start in range(0, 4 * HOUR, HOUR):
-        low, high = moment(fx.EPOCH_US + start), moment(fx.EPOCH_US + start + HOUR)
-        delivery = p.filter(predicates.in_window("recorded_at", low, high))
+    files = deliveries = 4
+    moment_us = F.unix_micros("recorded_at")
+    first, last = p.agg(F.min(moment_us), F.max(moment_us)).first()
+    span = 0 if first is None else (last - first) // deliveries + 1
+    for k in range(deliveries if span else 1):
+        delivery = p.filter(moment_us.between(first + k * span, first + (k + 1) * span - 1)) if span else p
         delivery.repartition(files).write.mode("append").parquet(f"{root}/fixes")
     fixes = spark.readStream.schema(schema.POSITIONS).option("maxFilesPerTrigger", files).parquet(f"{root}/fixes")
     with stream_stops.rocksdb_state(spark):

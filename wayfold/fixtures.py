@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from wayfold.operators.ordered import Slicing, choose_slicing, number_rows
 
 EPOCH_US = 1_704_067_200_000_000  # 2024-01-01T00:00:00Z
-_slicings: dict = {}
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,10 +19,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sized(name, sf_dir, df, keys, ts) -> Slicing:
-    key = (name, sf_dir)
-    if key not in _slicings:
-        _slicings[key] = choose_slicing(df, keys, ts)
-    return _slicings[key]
+    """Measured on every call: files under a folder may change."""
+    return choose_slicing(df, keys, ts)
 
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:

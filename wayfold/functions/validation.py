@@ -25,7 +25,21 @@ def _ahead(column, now):
 
 
 def _text(column):
-    return F.regexp_replace(F.col(column).cast("string"), r"\.0$", "")
+    """A number as short as it can be, with an exponent from 1e+06 on and below 1e-04."""
+    value = F.col(column).cast("double")
+    power = F.floor(F.log10(F.abs(value))).cast("double").try_cast("int")
+    digits = F.regexp_replace(F.regexp_replace(F.abs(F.col(column)).cast("string"), r"E.*$", ""), r"[.]", "")
+    digits = F.regexp_replace(F.regexp_replace(digits, r"^0+", ""), r"0+$", "")
+    fraction = F.substring(digits, 2, 20)
+    size = F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0"))
+    scientific = F.concat(
+        F.when(value < 0, "-").otherwise(""), F.substring(digits, 1, 1),
+        F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise(""),
+        F.when(power < 0, "e-").otherwise("e+"), size,
+    )
+    plain = F.when(F.abs(value) < 0.001, F.regexp_replace(F.format_string("%.20f", value), r"\.?0+$", ""))
+    plain = F.coalesce(plain, F.regexp_replace(F.col(column).cast("string"), r"\.0$", ""))
+    return F.when((value != 0) & ((power >= 6) | (power < -4)), scientific).otherwise(plain)
 
 
 def _infinite(column):

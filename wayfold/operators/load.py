@@ -117,12 +117,16 @@ def drop_orphan_matches(matches: DataFrame, stops: DataFrame) -> DataFrame:
 def replace_matches(
     matches: DataFrame, stops: DataFrame, new_matches: DataFrame, frm, to, vehicles: DataFrame | None = None
 ) -> DataFrame:
-    """Replace the matches whose client stop arrived in [frm, to)."""
+    """Replace the matches whose client stop arrived in [frm, to). A stop has one match, so old matches of a
+    stop that is matched anew go too, wherever the other stop lies."""
     window = stops.filter(in_window("arrived_at", frm, to))
     if vehicles is not None:
         window = window.join(vehicles.select("vehicle_id"), "vehicle_id", "left_semi")
     gone = window.select(F.col("id").alias("client_event_id"))
     kept = matches.join(gone, "client_event_id", "left_anti")
+    for side in ("client_event_id", "derived_event_id"):
+        kept = kept.join(new_matches.select(side), side, "left_anti")
+    kept = kept.select(*matches.columns)
     return kept.unionByName(new_matches, allowMissingColumns=True)
 
 

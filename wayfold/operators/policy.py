@@ -70,6 +70,9 @@ class TierKernel:
         return {"tier": tier, "pending": None} if box == tier else None
 
 
+HOUR_US = 3_600_000_000
+
+
 def backtest_sampling(
     telemetry: DataFrame,
     charging: str | None = None,
@@ -103,7 +106,8 @@ def battery_drain(
     without a driving fix.
     """
     slicing = resolve_slicing(positions, KEYS, "recorded_at", slicing)
-    hour = F.date_trunc("hour", F.col("recorded_at")).alias("hour")
+    us = F.unix_micros("recorded_at")
+    hour = F.timestamp_micros(us - F.pmod(us, F.lit(HOUR_US))).alias("hour")
     hours = positions.groupBy("vehicle_id", hour).agg(
         F.count(F.lit(1)).alias("fixes"),
         F.count_if(F.col("motion_state") == "driving").alias("driving"),

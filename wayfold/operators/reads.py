@@ -5,27 +5,26 @@ from pyspark.sql import functions as F
 
 from wayfold.config import LOCAL_HISTORY_LIMIT, MAX_ACTIVE_DAYS, MAX_POSITIONS_PER_PAGE
 from wayfold.functions.predicates import in_window, overlaps, source_is
+from wayfold.operators.ordered import DAY_US
 
-SALTS = 32
+FINAL_SALTS = 8
 
 
 def first_n(df: DataFrame, keys: list[str], order: list, n: int, spread: str, name="rn") -> DataFrame:
     """The first n rows of every key, numbered from 1 in `name`.
 
-    Ranks twice: within (key, hash of `spread`) and then among the survivors, so one key's rows are
-    spread over tasks and the last ranking sees at most SALTS * n of them.
+    Ranks within (key, hash of `spread`) for as many hashes as there are shuffle partitions, then among
+    the survivors for a few, then among theirs. So one key's rows are spread over all tasks, and the last
+    ranking sees at most FINAL_SALTS * n of them.
     """
-    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).alias("_salt")
-    local = Window.partitionBy(*keys, "_salt").orderBy(*order)
-    final = Window.partitionBy(*keys).orderBy(*order)
-    return (
-        df.select("*", salt)
-        .withColumn(name, F.row_number().over(local))
-        .filter(F.col(name) <= n)
-        .drop("_salt")
-        .withColumn(name, F.row_number().over(final))
-        .filter(F.col(name) <= n)
-    )
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.xxhash64(spread), F.lit(FINAL_SALTS * max(1, partitions // FINAL_SALTS)))
+    rows = df.select("*", salt.alias("_salt"))
+    rounds = [["_salt"], [F.pmod("_salt", F.lit(FINAL_SALTS))]] if partitions >= 2 * FINAL_SALTS else [["_salt"]]
+    for extra in [*rounds, []]:
+        rank = F.row_number().over(Window.partitionBy(*keys, *extra).orderBy(*order))
+        rows = rows.withColumn(name, rank).filter(F.col(name) <= n)
+    return rows.drop("_salt")
 
 
 def samples(positions: DataFrame, frm, to) -> DataFrame:
@@ -117,7 +116,8 @@ def active_days(positions: DataFrame, tz: str = "UTC", limit: int = 0) -> DataFr
     """The newest `limit` local calendar days on which each vehicle reported, in time zone tz."""
     if limit <= 0 or limit > MAX_ACTIVE_DAYS:
         limit = MAX_ACTIVE_DAYS
-    day = F.date_trunc("day", F.from_utc_timestamp("recorded_at", tz or "UTC"))
+    local = F.unix_micros(F.from_utc_timestamp("recorded_at", tz or "UTC"))
+    day = F.timestamp_micros(local - F.pmod(local, F.lit(DAY_US)))  # date_trunc would follow the session's time zone
     days = positions.groupBy("vehicle_id", day.alias("day")).agg(
         F.count(F.lit(1)).alias("fixes"),
         F.min("recorded_at").alias("first"),

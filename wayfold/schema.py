@@ -29,6 +29,7 @@ BATCH = (
     f"device_id string, sent_at timestamp, readings array<{READING}>, "
     f"stop_events array<{STOP_REPORT}>"
 )
+BATCH_TEXT = BATCH.replace("timestamp", "string")
 FIXES = (
     "device_id string, recorded_at timestamp, lat double, lon double, speed_mps double, "
     "accuracy_m double"

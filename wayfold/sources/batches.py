@@ -16,18 +16,72 @@ JSON_OPTIONS = {
 }
 
 
-def read_batches(spark: SparkSession, path: str, streaming: bool = False, **options) -> DataFrame:
-    """One row per batch, with `_corrupt_record` set where the line is not a valid batch. Fields the
-    schema does not know are ignored."""
-    reader = (spark.readStream if streaming else spark.read).schema(f"{schema.BATCH}, {CORRUPT} string")
-    return reader.options(**JSON_OPTIONS, **options).json(path)
+RFC3339 = r"^\d{4}-\d\d-\d\d[Tt]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)$"
+UUID = r"^(?i)(urn:uuid:)?[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|^[0-9a-f]{32}$"
 
 
-def parse_batches(lines: DataFrame, column: str = "value") -> DataFrame:
+def read_batches(
+    spark: SparkSession, path: str, streaming: bool = False, uuid_ids: bool = False, **options
+) -> DataFrame:
+    """One row per batch, with `_corrupt_record` set where the line is not a valid batch: broken JSON, a
+    wrong type, a time that is not RFC 3339 with a zone or, with `uuid_ids`, an id that is not a UUID.
+    Fields the schema does not know are ignored."""
+    reader = (spark.readStream if streaming else spark.read).schema(f"{schema.BATCH_TEXT}, {CORRUPT} string")
+    return _typed(reader.options(**JSON_OPTIONS, **options).json(path), uuid_ids)
+
+
+def parse_batches(lines: DataFrame, column: str = "value", uuid_ids: bool = False) -> DataFrame:
     """The same from a string column, keeping the other columns; for sources such as Kafka."""
-    parsed = F.from_json(column, f"{schema.BATCH}, {CORRUPT} string", JSON_OPTIONS)
+    parsed = F.from_json(column, f"{schema.BATCH_TEXT}, {CORRUPT} string", JSON_OPTIONS)
     others = [c for c in lines.columns if c != column]
-    return lines.select(*others, parsed.alias("b")).select(*others, "b.*")
+    return _typed(lines.select(*others, parsed.alias("b")).select(*others, "b.*"), uuid_ids)
+
+
+def _typed(batches: DataFrame, uuid_ids: bool) -> DataFrame:
+    """Times as timestamps; a batch with a malformed time or id becomes a corrupt record as a whole."""
+
+    def fits(value, pattern):
+        return value.isNull() | value.rlike(pattern)
+
+    def moment(value):
+        return value.try_cast("timestamp")
+
+    def time_ok(value):
+        return fits(value, RFC3339) & (value.isNull() == moment(value).isNull())
+
+    def items_ok(column, times, name):
+        def ok(x):
+            good = time_ok(x[times[0]])
+            for t in times[1:]:
+                good = good & time_ok(x[t])
+            return good & (fits(x[name], UUID) if uuid_ids else F.lit(True))
+
+        return F.coalesce(F.forall(column, ok), F.lit(True))
+
+    def typed(column, times, kind):
+        fields = [f.split(":")[0] for f in kind[7:-1].split(",")]
+        return F.transform(
+            column, lambda x: F.struct(*[(moment(x[f]) if f in times else x[f]).alias(f) for f in fields])
+        )
+
+    good = (
+        time_ok(F.col("sent_at"))
+        & items_ok("readings", ["recorded_at"], "reading_id")
+        & items_ok("stop_events", ["arrived_at", "departed_at"], "event_id")
+    )
+    whole = F.to_json(F.struct("device_id", "sent_at", "readings", "stop_events"))
+    corrupt = F.coalesce(F.col(CORRUPT), F.when(~good, whole))
+    columns = {
+        "device_id": F.col("device_id"),
+        "sent_at": moment(F.col("sent_at")),
+        "readings": typed("readings", ["recorded_at"], schema.READING),
+        "stop_events": typed("stop_events", ["arrived_at", "departed_at"], schema.STOP_REPORT),
+    }
+    others = [c for c in batches.columns if c not in columns and c != CORRUPT]
+    marked = batches.withColumn(CORRUPT, corrupt)
+    bad = F.col(CORRUPT).isNotNull()
+    kept = [F.when(~bad, value).alias(name) for name, value in columns.items() if name != "device_id"]
+    return marked.select(*others, "device_id", *kept, CORRUPT)
 
 
 def judge_batches(batches: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -43,6 +97,13 @@ def vehicle_id_of(device_id: str = "device_id"):
     return event_id("vehicle", F.col(device_id))
 
 
+def with_vehicle_ids(rows: DataFrame, vehicles: DataFrame) -> DataFrame:
+    """Rows with the id the vehicle table has for their device; a device it lacks keeps the id it would get."""
+    known = vehicles.groupBy(F.col("external_id").alias("device_id")).agg(F.min_by("id", "created_at").alias("_known"))
+    found = rows.join(known, "device_id", "left").withColumn("vehicle_id", F.coalesce("_known", "vehicle_id"))
+    return found.select(*rows.columns)
+
+
 def batch_readings(batches: DataFrame) -> DataFrame:
     """Readings as position rows, with their place in the batch in batch_seq. The batches carry
     received_at. A missing coordinate reads as 0."""

@@ -5,6 +5,8 @@ file rows are ordered by vehicle and time, so row-group statistics prune further
 arrival order, which leaves received_at clustered.
 """
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +15,20 @@ from wayfold import schema
 DATE = "recorded_date"
 
 
+def utc_date(column: str):
+    """The UTC date of a timestamp, whatever the session's time zone."""
+    return F.date_from_unix_date(F.floor(F.unix_seconds(column) / 86_400).cast("int"))
+
+
+def _in_utc(moment: dt.datetime) -> dt.datetime:
+    """An aware datetime in UTC; a naive one already is."""
+    return moment.replace(tzinfo=dt.timezone.utc) if moment.tzinfo is None else moment.astimezone(dt.timezone.utc)
+
+
 def append_positions(rows: DataFrame, path: str, files: int | None = None) -> None:
     """Append positions. With `files`, rows are first ranged over that many tasks by date, vehicle and
     time: tasks are even however the rows fall, and a file holds few vehicles."""
-    out = rows.withColumn(DATE, F.to_date("recorded_at"))
+    out = rows.withColumn(DATE, utc_date("recorded_at"))
     if files:
         out = out.repartitionByRange(files, DATE, "vehicle_id", "recorded_at")
     out = out.sortWithinPartitions(DATE, "vehicle_id", "recorded_at")
@@ -24,11 +36,13 @@ def append_positions(rows: DataFrame, path: str, files: int | None = None) -> No
 
 
 def read_positions(spark: SparkSession, path: str, frm=None, to=None) -> DataFrame:
-    """Positions, optionally of [frm, to) given as UTC datetimes; the window prunes date folders."""
+    """Positions, optionally of [frm, to) given as datetimes, naive ones in UTC; the window prunes date folders."""
     rows = spark.read.schema(f"{schema.POSITIONS}, {DATE} date").parquet(path)
     if frm is not None:
+        frm = _in_utc(frm)
         rows = rows.filter((F.col(DATE) >= F.lit(frm.date())) & (F.col("recorded_at") >= F.lit(frm)))
     if to is not None:
+        to = _in_utc(to)
         rows = rows.filter((F.col(DATE) <= F.lit(to.date())) & (F.col("recorded_at") < F.lit(to)))
     return rows.drop(DATE)
 
