@@ -25,7 +25,7 @@ PIECE = 128 << 20
 #: Entries a counting task holds before it hands on what it has.
 HELD = 1 << 20
 #: Widths of the band below and above a language's median, in median absolute deviations, and what is added for short texts.
-BELOW, ABOVE, SHORT = 8.0, 5.0, 2.5
+BELOW, ABOVE, SHORT = 8.0, 8.0, 2.5
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -114,7 +114,9 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     lower = None
     for order in range(1, ORDER + 1):
         context = _language() * (1 << 8 * ORDER) + F.shiftright(F.col("key").bitwiseAND(_low(order)), 8)
-        rows = grams[order].join(discounts(grams[order]).withColumnRenamed("lang", "_lang"), _language() == F.col("_lang")).drop("_lang")
+        # Written first: a language may hold most rows, and only a table of known size can be broadcast or split against it.
+        found = written(discounts(grams[order]).withColumnRenamed("lang", "_lang"), "discounts")
+        rows = grams[order].join(found, _language() == F.col("_lang")).drop("_lang")
         discount = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         rows = rows.select("key", "c", discount.alias("d"), context.alias("context"))
         totals = rows.groupBy("context").agg(F.sum("c").alias("total"), F.sum("d").alias("left"))
