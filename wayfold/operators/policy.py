@@ -98,7 +98,8 @@ def battery_drain(
     stationary_only: bool = False,
     slicing: Slicing | None = None,
 ) -> DataFrame:
-    """Percent per hour lost while discharging, by fixes per hour: (band, hours, observed_hours, drain_pct_per_hour).
+    """Percent per hour lost while discharging, by fixes per hour: (band, vehicle_hours, hours,
+    spent_pct, drain_pct_per_hour).
 
     Our reading of a published table that has no code: consecutive battery readings of a vehicle
     count when they are at most max_gap_seconds apart and the level did not rise; the band is the
