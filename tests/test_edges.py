@@ -5,12 +5,16 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import at, make_positions
+from conftest import at, make_positions, track
 from test_sources import batch, reading, write_lines
 from wayfold import schema
 from wayfold.functions.validation import _text
-from wayfold.operators.load import replace_matches
+from wayfold.operators.client import detect_client_stops, stops_from_emissions
+from wayfold.operators.load import replace_derived, replace_matches
+from wayfold.operators.ordered import WHOLE
 from wayfold.operators.reads import active_days, first_n
+from wayfold.plans.derivation import Derivation, _shaped, run_derivation, store_run
+from wayfold.session import materialise
 from wayfold.sources import batches as wire
 from wayfold.sources import tables
 from wayfold.streaming import ingest
@@ -111,3 +115,42 @@ def test_first_n_with_many_partitions(spark):
             assert sorted((r.k, r.rn, r.id) for r in found) == sorted((k, n + 1, k + 3 * n) for k in range(3) for n in range(5))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_stored_runs_replace_their_window(spark, tmp_path):
+    day = 86_400
+    samples = [(d * day + 30 * i, d * 5000 + (1200 if i > 3 else i * 300)) for d in range(3) for i in range(20)]
+    p = track(spark, samples)
+    client = stops_from_emissions(detect_client_stops(p, slicing=WHOLE)).withColumn("source", F.lit("client"))
+    root, whole = f"{tmp_path}/t", (F.lit(at(-60)), F.lit(at(3 * day)), F.lit(at(4 * day)))
+    tables.replace_rows(spark, f"{root}/stop_events", schema.STOP_EVENTS, "id", "arrived_at", client.limit(0).select("id"), _shaped(client, schema.STOP_EVENTS))
+    store_run(run_derivation(p, client, *whole), root, *whole)
+
+    def stored(name):
+        rows = spark.read.parquet(f"{root}/{name}")
+        return sorted(tuple(r) for r in rows.select(*[c for c in rows.columns if c.endswith("id") or c.endswith("ed_at") and c != "matched_at"]).collect())
+
+    names = ("trips", "stop_events", "matches")
+    first = {n: stored(n) for n in names}
+    assert len(first["matches"]) == 3 and len(first["stop_events"]) == 6
+    again = (*whole[:2], F.lit(at(5 * day)))
+    store_run(run_derivation(p, client, *again), root, *again)
+    assert {n: stored(n) for n in names} == first
+
+    # One day anew: the same as replacing in snapshots, and the folders of other days keep their files.
+    second = (F.lit(at(2 * day - 60)), F.lit(at(3 * day - 60)), F.lit(at(5 * day)))
+    run = run_derivation(p, client, *second)
+    snapshots = [materialise(tables.read_dated(spark, f"{root}/{n}", ddl).drop(tables.DATE)) for n, ddl in (("trips", schema.TRIPS), ("stop_events", schema.STOP_EVENTS))]
+    shaped = [_shaped(x, ddl).withColumn("source", F.lit("derived")) for x, ddl in ((run.trips, schema.TRIPS), (run.stops, schema.STOP_EVENTS))]
+    expected = replace_derived(*snapshots, *shaped, *second, vehicles=run.vehicles)
+    files = {f for f in (tmp_path / "t/stop_events").rglob("part-*")}
+    store_run(run, root, *second)
+    for name, rows in zip(names, expected):
+        assert len(stored(name)) == rows.count() and {r[0] for r in stored(name)} == {r.id for r in rows.collect()}
+    kept = files & {f for f in (tmp_path / "t/stop_events").rglob("part-*")}
+    assert kept and kept != files
+
+    # A day without any sample left loses its derived rows.
+    gone = run_derivation(p.filter("false"), client, *second)
+    store_run(Derivation(p.select("vehicle_id").distinct(), gone.trips, gone.stops, gone.client_stops, gone.matches), root, *second)
+    assert len(stored("stop_events")) < len(first["stop_events"]) and len(stored("matches")) < 3

@@ -5,13 +5,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfold import schema
 from wayfold.config import DetectConfig
-from wayfold.functions.predicates import overlaps
+from wayfold.functions.predicates import at, in_window, overlaps
 from wayfold.operators.ordered import Slicing
 from wayfold.operators.reads import active_vehicles, samples
 from wayfold.operators.reconcile import reconcile
 from wayfold.operators.trips import detect
 from wayfold.session import materialise
+from wayfold.sources.tables import read_dated, replace_rows
 
 
 @dataclass(frozen=True)
@@ -51,6 +53,45 @@ def run_derivation(
     return Derivation(vehicles, trips, stops, reported, reconcile(reported, stops, cfg))
 
 
+def store_run(run: Derivation, root: str, frm, to, now) -> None:
+    """Put a run in the tables trips, stop_events and matches under root, in place of what it recomputed.
+
+    Derived trips and stops of the run's vehicles that touch [frm, to) are replaced, and so are the matches of
+    these stops, of client stops that arrived in the window, and of every stop matched anew. Client stops stay.
+    Each table is committed on its own; running the same derivation again gives the same tables.
+    """
+    spark = run.vehicles.sparkSession
+    mine = run.vehicles.select("vehicle_id").distinct()
+    stops = read_dated(spark, f"{root}/stop_events", schema.STOP_EVENTS)
+    trips = read_dated(spark, f"{root}/trips", schema.TRIPS)
+    matches = read_dated(spark, f"{root}/matches", schema.MATCHES)
+    derived = F.col("source") == "derived"
+    old_stops = materialise(
+        stops.filter(derived & overlaps("arrived_at", "departed_at", frm, to, now)).join(mine, "vehicle_id", "left_semi").select("id")
+    )
+    old_trips = trips.filter(derived & overlaps("started_at", "ended_at", frm, to, now)).join(mine, "vehicle_id", "left_semi")
+    arrived = stops.filter((F.col("source") == "client") & in_window("arrived_at", frm, to)).join(mine, "vehicle_id", "left_semi")
+    new_matches = materialise(_shaped(run.matches, schema.MATCHES).withColumn("matched_at", at(now)))
+    sides = {
+        "client_event_id": arrived.select("id").union(new_matches.select("client_event_id")),
+        "derived_event_id": old_stops.union(new_matches.select("derived_event_id")),
+    }
+    gone = [matches.join(ids.toDF(side), side, "left_semi").select("client_event_id") for side, ids in sides.items()]
+    replace_rows(spark, f"{root}/matches", schema.MATCHES, "client_event_id", "matched_at", gone[0].union(gone[1]), new_matches)
+    for name, ddl, start, old, new in (
+        ("trips", schema.TRIPS, "started_at", old_trips, run.trips),
+        ("stop_events", schema.STOP_EVENTS, "arrived_at", old_stops, run.stops),
+    ):
+        rows = _shaped(new, ddl).withColumn("source", F.lit("derived"))
+        replace_rows(spark, f"{root}/{name}", ddl, "id", start, old, rows)
+
+
+def _shaped(rows: DataFrame, ddl: str) -> DataFrame:
+    """The columns of a table, NULL where rows have none."""
+    columns = [c.split(" ") for c in ddl.split(", ")]
+    return rows.select(*[(F.col(n) if n in rows.columns else F.lit(None)).cast(kind).alias(n) for n, kind in columns])
+
+
 def run_summary(run: Derivation) -> DataFrame:
     """One row over the fleet: vehicles, trips, stops of both sources, and matches."""
     parts = {
