@@ -17,7 +17,9 @@ def folder(spark, tmp_path, words):
         texts[k] += "\nyou are vile scum, vile scum"
     texts[50] += " " + passage
     texts[60] = texts[61]
-    texts[70] = texts[71].replace(texts[71].split()[59], "other")
+    # Near copies that share no whole line.
+    texts[70] = words(700, 100)
+    texts[71] = f"{words(700, 99)} other"
     ids = list(range(120))
     rng.shuffle(ids)
     rows = [(k, texts[k], "en", f"s{k % 3}", len(texts[k])) for k in ids] + [(500, None, None, None, None), (501, "", "en", "s", 0)]
