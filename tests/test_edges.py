@@ -154,3 +154,15 @@ def test_stored_runs_replace_their_window(spark, tmp_path):
     gone = run_derivation(p.filter("false"), client, *second)
     store_run(Derivation(p.select("vehicle_id").distinct(), gone.trips, gone.stops, gone.client_stops, gone.matches), root, *second)
     assert len(stored("stop_events")) < len(first["stop_events"]) and len(stored("matches")) < 3
+
+
+def test_compaction_keeps_every_row(spark, tmp_path):
+    path = tmp_path / "positions"
+    for k in range(6):
+        rows = make_positions(spark, [("v", 86_400 * (k % 2) + k, 49.0, -123.0)]).withColumn("reading_id", F.lit(f"r{k}"))
+        tables.append_positions(rows, str(path))
+    before = sorted(map(tuple, tables.read_positions(spark, str(path)).collect()))
+    folders = sorted(f for f in path.iterdir() if f.is_dir())
+    tables.compact_positions(spark, str(path), at(0).date(), at(0).date())
+    assert sorted(map(tuple, tables.read_positions(spark, str(path)).collect())) == before and len(before) == 6
+    assert [len(list(f.glob("part-*"))) for f in folders] == [1, 3]

@@ -36,6 +36,19 @@ def append_positions(rows: DataFrame, path: str, files: int | None = None) -> No
     out.write.mode("append").partitionBy(DATE).parquet(path)
 
 
+def compact_positions(spark: SparkSession, path: str, first: dt.date, last: dt.date, rows_per_file: int = 4_000_000) -> None:
+    """Write the folders of the dates first to last anew, with few files in order of vehicle and time.
+
+    For dates that no running ingest appends to: rows added meanwhile would be lost.
+    """
+    stored = spark.read.schema(f"{schema.POSITIONS}, {DATE} date").parquet(path)
+    rows = materialise(stored.filter(F.col(DATE).between(F.lit(first), F.lit(last))))
+    order = [DATE, "vehicle_id", "recorded_at"]
+    out = rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite")
+    out = out.option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows_per_file)
+    out.partitionBy(DATE).parquet(path)
+
+
 def read_positions(spark: SparkSession, path: str, frm=None, to=None) -> DataFrame:
     """Positions, optionally of [frm, to) given as datetimes, naive ones in UTC; the window prunes date folders."""
     rows = spark.read.schema(f"{schema.POSITIONS}, {DATE} date").parquet(path)
