@@ -17,6 +17,10 @@ from wayfold.llm import bpe, decontaminate, linededup, neardup, store, toxicity
 cloudpickle.register_pickle_by_value(wayfold)
 
 
+#: Similarity from which the near dedup stage calls documents near duplicates; op7's contract has 85.
+NEAR_PERCENT = 80
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted to be toxic; the model is learned from the labels of those that have one."""
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -30,7 +34,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates."""
-    gone = neardup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    gone = neardup.near_duplicates(docs, percent=NEAR_PERCENT).where("NOT kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -71,3 +71,28 @@ def test_components_of_paths_and_stars(spark):
     found = {r.id: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {k: 0 for k in range(31)} | {k: 100 for k in range(100, 160)}
     assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_percent_reaches_every_step(documents, words):
+    # Similarities 146 / 178 = 0.82, 4 / 5 = 0.8 and 146 / 183 = 0.798.
+    texts = [words(1, 150), f"{words(1, 150)} {words(2, 32)}", words(3, 8), f"{words(3, 8)} x", words(4, 150), f"{words(4, 150)} {words(5, 37)}"]
+    groups = lambda **kw: [r.component_id for r in sorted(neardup.near_duplicates(documents(texts), **kw).collect(), key=lambda r: r.doc_id)]
+    assert groups() == [0, 1, 2, 3, 4, 5]
+    assert groups(percent=80) == [0, 0, 2, 2, 4, 5]
+    # 85 percent needs 6 of 7 shingles, 80 percent 4 of 5.
+    assert (neardup.smallest(85), neardup.smallest(80)) == (6, 4)
+
+
+def test_rare_pairs_at_80_percent(documents, words):
+    # A chain of copies with a common hub, and pairs that only the rarest shingles bring together.
+    rng = random.Random(9)
+    texts = [edited(words(6, 200), rng.randrange(9), rng) for _ in range(60)] + [edited(words(7, 90), rng.randrange(4), rng) for _ in range(40)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((group[i], group[j]))
+                group = [a if g == b else g for g in group]
+    rows = sorted(neardup.near_duplicates(documents(texts), percent=80).collect(), key=lambda r: r.doc_id)
+    assert [r.component_id for r in rows] == group

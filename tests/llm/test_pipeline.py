@@ -52,3 +52,8 @@ def test_stages_keep_what_they_should(spark, folder):
 
 def test_every_operator_has_a_query():
     assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+
+
+def test_near_stage_drops_copies_at_82_percent(spark, documents, words):
+    docs = documents([words(1, 150), f"{words(1, 150)} {words(2, 32)}", words(3, 150)])
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()) == [0, 2]

@@ -21,25 +21,31 @@ from wayfold.llm.components import components
 from wayfold.llm.store import written
 
 SHINGLE = 5
-#: Links have 100 * intersection >= PERCENT * union.
+#: Links have 100 * intersection >= percent * union, with this percent where none is given.
 PERCENT = 85
 #: Buckets of a document's shingles, and hash functions applied to each bucket.
 BUCKETS, SEEDS = 16, 14
 #: Mantissa bits of a register; the leading-zero count takes the other six.
 MANTISSA = 10
-#: Registers in a band. 37 bands of 6 miss a pair at the threshold with probability (1 - 0.85 ** 6) ** 37 = 2e-8.
+#: Registers in a band. 37 bands of 6 miss a pair at the threshold with probability (1 - 0.85 ** 6) ** 37 = 2e-8 for 85 percent
+#: and (1 - 0.8 ** 6) ** 37 = 1.3e-5 for 80.
 ROWS = 6
 BANDS = BUCKETS * SEEDS // ROWS
-#: Candidates whose estimate is below this are not compared; an estimate at the threshold has a deviation of 0.02.
+#: Candidates whose estimate is below this are not compared; an estimate at a threshold of 80 percent has a deviation of 0.03.
 FLOOR = 0.6
-#: Fewer shingles than this can only reach the threshold by equality.
-SMALLEST = 6
 #: Bits of the filter that says which documents' sets are wanted.
 FILTER_BITS = 1 << 24
 #: Counters that order shingles by how common they are.
 COUNTERS = 1 << 20
 
 
+def smallest(percent: int) -> int:
+    """Fewer shingles than this can only reach the threshold by equality: n of n + 1 must pass."""
+    if not 0 < percent < 100:
+        raise ValueError("percent must lie between 1 and 99")
+    return -(-percent // (100 - percent))
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
     """Each text's distinct shingle hashes in order; a text of fewer words has one shingle of all of them."""
     words = Words(data, offsets, NOT_SPACE, fold=True)
@@ -125,8 +131,9 @@ def estimate(a: np.ndarray, b: np.ndarray, size_a: int, size_b: int) -> float:
     return float((agree - c) / (1 - c))
 
 
-def sketch(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def sketch(docs: DataFrame, doc_id: str, text: str, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, digest of the set, registers) of every document."""
+    least = smallest(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,7 +142,7 @@ def sketch(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 for shingles in shingle_sets(data, offsets):
                     sizes.append(len(shingles))
                     digests.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
-                    sketches.append(registers(shingles).tobytes() if len(shingles) >= SMALLEST else None)
+                    sketches.append(registers(shingles).tobytes() if len(shingles) >= least else None)
             columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "registers"])
 
@@ -156,12 +163,12 @@ def bands(sketches: DataFrame) -> DataFrame:
     return sketches.select("doc_id", "registers").mapInArrow(run, "band long, id long")
 
 
-def similar_sizes(n: Column, m: Column) -> Column:
+def similar_sizes(n: Column, m: Column, percent: int = PERCENT) -> Column:
     """Sets of such sizes can reach the threshold at all."""
-    return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def promising(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+def promising(pairs: DataFrame, sketches: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose sizes and estimate may reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +179,7 @@ def promising(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
     side = sketches.select("doc_id", "n_shingles", "registers")
     joined = pairs.join(side.toDF("a", "n_a", "r_a"), "a").join(side.toDF("b", "n_b", "r_b"), "b")
-    joined = joined.where(similar_sizes(F.col("n_a"), F.col("n_b")))
+    joined = joined.where(similar_sizes(F.col("n_a"), F.col("n_b"), percent))
     return joined.select("a", "b", "r_a", "r_b", "n_a", "n_b").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -223,7 +230,7 @@ def full_sets(docs: DataFrame, doc_id: str, text: str, ids: DataFrame) -> DataFr
     return rows.mapInArrow(run, "id long, shingles binary").join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +239,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for x, y in zip(batch.column(2), batch.column(3)):
                 x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(sets.toDF("a", "s_a"), "a").join(sets.toDF("b", "s_b"), "b")
@@ -250,14 +257,14 @@ def _ordered(a: str, b: str) -> list[Column]:
     return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
 
-def _rare_first(shingles: np.ndarray, counters: np.ndarray) -> np.ndarray:
+def _rare_first(shingles: np.ndarray, counters: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The shingles that a linked set must share one of: enough of the rarest that the rest alone could not reach the threshold."""
     common = counters[(shingles & np.uint64(COUNTERS - 1)).astype(np.int64)]
-    size = len(shingles) - -(-PERCENT * len(shingles) // 100) + 1
+    size = len(shingles) - -(-percent * len(shingles) // 100) + 1
     return shingles[np.lexsort((shingles, common))[:size]]
 
 
-def _rare_pairs(sets: DataFrame, marks: DataFrame) -> DataFrame:
+def _rare_pairs(sets: DataFrame, marks: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs of different groups that share one of their rarest shingles: all that can be linked, and few others.
 
     Any fixed order of shingles makes this exact. Ordering by how common they are among these documents keeps pairs away
@@ -280,7 +287,7 @@ def _rare_pairs(sets: DataFrame, marks: DataFrame) -> DataFrame:
     def choosing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets_of = [np.frombuffer(s.as_py(), np.uint64) for s in batch.column(1)]
-            rare = [_rare_first(s, shared.value) for s in sets_of]
+            rare = [_rare_first(s, shared.value, percent) for s in sets_of]
             counts = [len(r) for r in rare]
             columns = [np.concatenate([np.zeros(0, np.uint64), *rare]).view(np.int64)]
             columns += [np.repeat(x, counts) for x in (batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False), [len(s) for s in sets_of])]
@@ -293,12 +300,12 @@ def _rare_pairs(sets: DataFrame, marks: DataFrame) -> DataFrame:
     other = rows.toDF("shingle", "other", "h", "m", "j")
     # What the two share from this shingle on bounds the intersection, if it is the first they share; later ones bound less.
     most = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
-    enough = (100 + PERCENT) * most >= PERCENT * (F.col("n") + F.col("m"))
-    both = rows.join(other, "shingle").where((F.col("id") > F.col("other")) & (F.col("g") != F.col("h")) & similar_sizes(F.col("n"), F.col("m")) & enough)
+    enough = (100 + percent) * most >= percent * (F.col("n") + F.col("m"))
+    both = rows.join(other, "shingle").where((F.col("id") > F.col("other")) & (F.col("g") != F.col("h")) & similar_sizes(F.col("n"), F.col("m"), percent) & enough)
     return both.select(*_ordered("id", "other")).distinct()
 
 
-def link_groups(docs: DataFrame, doc_id: str, text: str, sketches: DataFrame) -> DataFrame:
+def link_groups(docs: DataFrame, doc_id: str, text: str, sketches: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(id, component) of the ids of sketches that are linked to another one, directly or not.
 
     A band's rows are first compared with the one of them that meets most others, which joins most of a large group of
@@ -319,33 +326,34 @@ def link_groups(docs: DataFrame, doc_id: str, text: str, sketches: DataFrame) ->
     near = written(only_ids(sparse, met.select("id")), "near")
 
     def verified(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
-        hopeful = written(promising(pairs, near), "promising")
+        hopeful = written(promising(pairs, near, percent), "promising")
         if sets is None:
             ids = written(hopeful.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
             sets = written(full_sets(docs, doc_id, text, ids), "sets")
-        return written(confirmed(hopeful, sets), "confirmed")
+        return written(confirmed(hopeful, sets, percent), "confirmed")
 
     links = verified(stars.select(*_ordered("id", "hub")).distinct())
     groups = components(links)
     marks = written(_mixed(rows, groups).select("id", "g").distinct(), "marks")
     sets = written(full_sets(docs, doc_id, text, marks.select("id")), "sets")
-    links = links.union(verified(_rare_pairs(sets, marks), sets))
+    links = links.union(verified(_rare_pairs(sets, marks, percent), sets))
     return components(links)
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable over links) and kept (it is its own).
 
+    Sets of shingles are linked if their Jaccard similarity is percent / 100 or more.
     Words are separated by ASCII white space and compared with A-Z lower-cased. Null, empty and wordless texts have no
     shingles and are linked with nothing. A document without an id is never linked and always kept. An id should stand for
     one text; of rows that share an id each is returned, with the group of one of them. Documents with equal sets are
     collapsed before any band is built.
     """
-    sketches = written(sketch(docs, doc_id, text), "sketches")
+    sketches = written(sketch(docs, doc_id, text, percent), "sketches")
     named = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
     sets = written(named.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     firsts = named.join(sets.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi")
-    groups = link_groups(docs, doc_id, text, written(firsts, "firsts"))
+    groups = link_groups(docs, doc_id, text, written(firsts, "firsts"), percent)
     heads = sets.join(groups, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("head"))
     rows = sketches.select("doc_id", "n_shingles", "digest").join(written(heads, "heads"), "digest", "left")
     single = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
