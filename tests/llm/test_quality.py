@@ -79,3 +79,14 @@ def test_counts_and_verdicts(spark, words):
     assert sum(by_id[k].kept for k in range(1, 40)) >= 36 and not by_id[40].kept
     assert quality.judge_quality(docs.limit(0)).collect() == []
     assert docs.select(F.col("lang")).count() == len(found)
+
+
+def test_mild_junk_lies_outside_the_band(documents):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    vocabulary = [word() for _ in range(300)]
+    texts = [" ".join(rng.choices(vocabulary, k=200)) for _ in range(80)]
+    # Every eighth word is made of random letters.
+    texts.append(" ".join(w if k % 8 else word() for k, w in enumerate(rng.choices(vocabulary, k=200))))
+    kept = {r.doc_id: r.kept for r in quality.judge_quality(documents(texts)).collect()}
+    assert [k for k in kept if not kept[k]] == [80]
