@@ -37,6 +37,14 @@ def once(key: str, build: Callable):
     return kept[key]
 
 
+def release(*keys: str) -> None:
+    """Forget what other operators keep in this worker: all but the values of these keys and those of this module."""
+    kept = sys.__dict__.setdefault("_wayfold_once", {})
+    for key in [*kept]:
+        if key not in (*keys, "powers", "byte values"):
+            del kept[key]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit over all others."""
     x = (x ^ (x >> np.uint64(30))) * MIX_1
@@ -47,7 +55,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     kept = once("powers", lambda: {})
     if kept.get("n", 0) < n:
-        size = max(n, BLOCK_BYTES + 1)
+        size = 1 << max(n, 1 << 16).bit_length()
         up, down = np.full(size, BASE), np.full(size, BASE_INVERSE)
         up[0] = down[0] = 1
         kept.update(n=size, up=np.cumprod(up), down=np.cumprod(down))

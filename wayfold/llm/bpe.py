@@ -17,15 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.arrays import once, span_hashes, text_blocks
-from wayfold.llm.prefixes import NEVER, Prefixes
+from wayfold.llm.arrays import once, release, span_hashes, text_blocks
+from wayfold.llm.prefixes import NEVER, Prefixes, Tables
 from wayfold.llm.split import match_starts
+from wayfold.llm.store import free_names
 
 #: Seams that a Python worker remembers.
 SEAMS = 1 << 20
-#: Bytes beyond which a piece is encoded alone.
-LONG = 256
-BLOCK = 2 << 20
+#: Bytes beyond which a piece is encoded apart from others, and beyond which by a table in plain Python.
+LONG, VERY_LONG = 256, 1 << 14
+#: Bytes of text, and of different pieces, handled at once.
+BLOCK, SLICE = 1 << 19, 1 << 18
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -95,6 +97,11 @@ def compile_ranks(ranks: dict[bytes, int]) -> dict:
     return compile_vocabulary(ranks, {i: [ranks[bytes([b])] for b in t] for t, i in ranks.items()}, pairs)
 
 
+def packed(vocabulary: dict) -> dict:
+    """A compiled vocabulary as plain arrays, without the dicts: enough for all but very long pieces."""
+    return {"name": vocabulary["name"], "final": vocabulary["final"] and True, "arrays": Tables(vocabulary, 16).arrays()}
+
+
 class PrefixTable:
     """The last token of every prefix of a growing byte string, and the tokens up to it."""
 
@@ -229,19 +236,26 @@ def encode_block(data: np.ndarray, offsets: np.ndarray, encode_new) -> tuple[np.
     return ids, upto[np.searchsorted(starts, offsets)]
 
 
-def encode_pieces(vocabulary: dict, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of joined pieces by their prefix tables; a very long piece has a table of its own."""
+def encode_pieces(vocabulary: dict, data: np.ndarray, bounds: np.ndarray, whole=None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of joined pieces by their prefix tables, a bounded stretch of them at a time; a long piece goes alone.
+
+    whole gives the vocabulary with its dicts, wanted for very long pieces alone; without it, vocabulary has them.
+    """
     sizes = np.diff(bounds)
-    long = np.flatnonzero(sizes > LONG)
-    if not len(long):
-        return Prefixes(vocabulary, data, bounds).ids()
-    short = sizes.copy()
-    short[long] = 0
-    flat, found = Prefixes(vocabulary, ranges(data, bounds[:-1], short), np.concatenate([[0], np.cumsum(short)])).ids()
-    parts = [flat[a:b] for a, b in zip(found[:-1], found[1:])]
-    for k in long.tolist():
-        parts[k] = np.array(PrefixTable(vocabulary, data[bounds[k] : bounds[k + 1]].tobytes()).ids(), np.int64)
-    return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    lone = np.flatnonzero(sizes > LONG)
+    cuts = {0, len(sizes), *lone.tolist(), *(lone + 1).tolist()}
+    cuts.update(np.searchsorted(bounds, np.arange(SLICE, bounds[-1], SLICE)).tolist())
+    cuts, flat, counts = sorted(cuts), [], []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        part = data[bounds[a] : bounds[b]]
+        if len(part) > VERY_LONG and b == a + 1:
+            flat.append(np.array(PrefixTable(whole() if whole else vocabulary, part.tobytes()).ids(), np.int64))
+            counts.append([len(flat[-1])])
+        else:
+            ids, found = Prefixes(vocabulary, part, bounds[a : b + 1] - bounds[a]).ids()
+            flat.append(ids.astype(np.int32))
+            counts.append(np.diff(found))
+    return np.concatenate([*flat, np.zeros(0, np.int32)]), np.concatenate([[0], np.cumsum(np.concatenate([*counts, []]))]).astype(np.int64)
 
 
 class Decoder:
@@ -253,6 +267,12 @@ class Decoder:
         self.bounds = np.concatenate([[0], np.cumsum(sizes)])
         self.flat = np.frombuffer(b"".join(tokens.get(i, b"") for i in range(top + 1)), np.uint8)
 
+    @classmethod
+    def of(cls, bounds: np.ndarray, flat: np.ndarray) -> Decoder:
+        decoder = cls.__new__(cls)
+        decoder.bounds, decoder.flat = bounds, flat
+        return decoder
+
     def decode(self, ids: np.ndarray) -> np.ndarray:
         return expand(self.flat, self.bounds, ids)
 
@@ -264,37 +284,67 @@ def _quoted(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], *, text: str = "text", ids: str = "ids", keep: list[str] | None = None, decoded: str | None = None) -> DataFrame:
-    """The columns keep (all by default) with a column of token ids, and the bytes of these ids if decoded names a column.
+def encode(
+    docs: DataFrame, ranks: dict[bytes, int], *, text: str = "text", ids: str = "ids", keep: list[str] | None = None, decoded: str | None = None, restored: str | None = None
+) -> DataFrame:
+    """The columns keep (all by default) with a column of token ids. If decoded names a column, it has the bytes of these
+    ids; if restored does, it says whether these are the bytes of the text, compared where they are made.
 
-    A null or empty text has no ids; repeated rows are encoded row by row.
+    A null or empty text has no ids; repeated rows are encoded row by row. A name that keep has already gets underscores
+    at its end, so the columns of keep stay as they are; the new columns are the last ones, in the order ids, decoded, restored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(compile_ranks(ranks))
-    keep = docs.columns if keep is None else keep
-    names = [*keep, ids, *([decoded] if decoded else [])]
+    spark, keep = docs.sparkSession, docs.columns if keep is None else keep
+    vocabulary = compile_ranks(ranks)
+    decoder = Decoder({i: t for t, i in vocabulary["tokens"].items()})
+    shared = spark.sparkContext.broadcast(packed(vocabulary) | {"decoder": (decoder.bounds, decoder.flat)})
+    raw_ranks = spark.sparkContext.broadcast(ranks)
+    new = [ids, *([decoded] if decoded else []), *([restored] if restored else [])]
+    names = [*keep, *free_names(new, keep)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value
-        decoder = once(f"decoder {vocabulary['name']}", lambda: Decoder({i: t for t, i in vocabulary["tokens"].items()}))
+        small = shared.value
+        own = f"tables {small['name']}", f"dicts {small['name']}", f"seams {small['name']}", "character kinds"
+        release(*own)
+        decoder = Decoder.of(*small["decoder"])
+        whole = lambda: once(own[1], lambda: compile_ranks(raw_ranks.value))
         for batch in batches:
-            kept = batch.select(keep)
-            for first, last, data, offsets in text_blocks(batch.column(text), BLOCK):
-                found, bounds = encode_block(data, offsets, lambda new, at: encode_pieces(vocabulary, new, at))
+            kept, texts = batch.select(batch.schema.names[: len(keep)]), batch.column(batch.num_columns - 1)
+            for first, last, data, offsets in text_blocks(texts, BLOCK):
+                found, bounds = encode_block(data, offsets, lambda new, at: encode_pieces(small, new, at, whole))
                 columns = [*kept.slice(first, last - first).columns]
                 columns.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(found.astype(np.int32))))
-                if decoded:
+                if decoded or restored:
                     raw = decoder.decode(found)
                     at = decoder.bounds_of(found)[bounds]
+                if decoded:
                     columns.append(pa.Array.from_buffers(pa.binary(), last - first, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(raw)]))
+                if restored:
+                    columns.append(pa.array(same_texts(raw, at, data, offsets)))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    rows = docs.select(*keep, *([] if text in keep else [text]))
-    kinds = f"{_quoted(docs.select(*keep))}, `{ids}` array<int>" + (f", `{decoded}` binary" if decoded else "")
-    return rows.mapInArrow(run, kinds.removeprefix(", "))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(text).alias("text"))
+    kinds = [f.dataType.simpleString() for f in docs.select(*[f"`{c}`" for c in keep]).schema]
+    kinds += ["array<int>", *["binary"] * bool(decoded), *["boolean"] * bool(restored)]
+    return rows.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds)))
+
+
+def same_texts(raw: np.ndarray, at: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each text of a block whether the bytes raw, bounded by at, equal its own."""
+    same = np.diff(at) == np.diff(offsets)
+    if same.all():
+        wrong = np.concatenate([[0], np.cumsum(raw != data)])
+        return wrong[offsets[1:]] == wrong[offsets[:-1]]
+    for k in np.flatnonzero(same).tolist():
+        same[k] = np.array_equal(raw[at[k] : at[k + 1]], data[offsets[k] : offsets[k + 1]])
+    return same
 
 
 def decode(docs: DataFrame, ranks: dict[bytes, int], *, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """docs with a binary column of the bytes of their ids. Null ids decode to no bytes; an unknown id is an error."""
+    """docs with a binary column of the bytes of their ids, its name with underscores added if docs has it already.
+
+    Null ids decode to no bytes; an unknown id is an error.
+    """
+    decoded = free_names([decoded], docs.columns)[0]
     shared = docs.sparkSession.sparkContext.broadcast({i: t for t, i in ranks.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

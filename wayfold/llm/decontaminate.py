@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm.arrays import ALNUM, Words, text_blocks
-from wayfold.llm.store import written
+from wayfold.llm.store import free_names, written
 
 #: Words in a window.
 WINDOW = 10
@@ -103,10 +103,11 @@ def find_overlaps(
 
     spans are the verified occurrences of item windows, as first word and number of words; items the ids (as strings,
     sorted) of the items they belong to. An item of fewer words than the window is one window. Null and wordless texts,
-    on either side, never hit. Repeated documents and items are judged row by row; ids may be null or repeat.
+    on either side, never hit. Repeated documents and items are judged row by row; ids may be null or repeat. The three
+    come last; one whose name keep has already gets underscores at its end, and keep's column stays as it is.
     """
     spark = docs.sparkSession
-    rows = docs.select([F.col(c) for c in keep] + [F.col(text).alias("_text")])
+    rows = docs.select([F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)] + [F.col(text).alias("_text")])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     out = None
     for number, part in enumerate(benchmark_blocks(benchmark, item, item_text, block)):
@@ -121,7 +122,7 @@ def find_overlaps(
         out = out.withColumns({
             "spans": F.concat("_spans", "spans"), "items": F.array_sort(F.array_distinct(F.concat("_items", "items"))),
         }).drop("_n", "_spans", "_items")
-    return out
+    return out.drop("_text").toDF(*keep, *free_names(["n_words", "spans", "items"], keep))
 
 
 def covered_words(spans: F.Column) -> F.Column:
@@ -174,8 +175,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "docum
 
         def cut(batches):
             for batch in batches:
-                texts, spans = batch.column(body).to_pylist(), batch.column("spans").to_pylist()
                 at = batch.schema.get_field_index(body)
+                texts, spans = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
                 columns = [batch.column(c) for c in columns_in]
                 columns[at] = pa.array([_cut(t, s) for t, s in zip(texts, spans)], pa.string())
                 yield pa.RecordBatch.from_arrays(columns, names=columns_in)

@@ -19,3 +19,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def free_names(wanted: list[str], taken: list[str]) -> list[str]:
+    """The wanted column names, each with underscores at its end for as long as a column in taken has that name."""
+    known, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in known:
+            name += "_"
+        known.add(name.lower())
+        out.append(name)
+    return out

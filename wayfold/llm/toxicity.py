@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.store import written
+from wayfold.llm.store import free_names, written
 
 #: Labelled texts, about, that the lexicon and the weights are learned from, and texts whose labels are never looked at.
 TRAINING_ROWS = 20_000
@@ -267,12 +267,15 @@ def score(docs: DataFrame, model: dict, *, keep: list[str], text: str = "text")
     """The columns keep with patterns (pattern_weights), score (0 to 1) and predicted (1 from 0.5 on).
 
     Nothing but the text goes into a score. Null, empty and wordless texts match no pattern and have the lowest score.
+    The three come last; one whose name keep has already gets underscores at its end, and keep's column stays as it is.
     """
-    counted = count_patterns(docs, model["lexicon"], keep=keep, text=text)
+    inner = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text).alias("_text"))
+    counted = count_patterns(inner, model["lexicon"], keep=inner.columns[:-1], text="_text")
     linear = F.lit(float(model["weights"][-1]))
     present, amount = np.split(np.array(model["weights"][:-1]), 2)
     for k in range(len(PATTERNS)):
         count = F.get("patterns", F.lit(k))
         linear = linear + F.when(count > 0, float(present[k])).otherwise(0.0) + F.log1p(count) * float(amount[k])
     value = 1 / (1 + F.exp(-linear))
-    return counted.withColumn("score", value).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    scored = counted.withColumn("score", value).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return scored.toDF(*keep, *free_names(["patterns", "score", "predicted"], keep))
