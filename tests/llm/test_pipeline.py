@@ -51,7 +51,7 @@ def test_stages_keep_what_they_should(spark, folder):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
 
 
 def test_near_stage_drops_copies_at_82_percent(spark, documents, words):

@@ -33,3 +33,41 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+# Failure masks per part, and every order of the five filters applied to them.
+ORACLE["op13_filter_audit"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+    min(doc_id) OVER (PARTITION BY text) AS first FROM d
+), l AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), m AS (
+  SELECT part, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic,
+    (len(words) < 100)::INT + 2 * (100 * len(list_distinct(words)) < 80 * len(words))::INT
+    + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text))::INT
+    + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first, false)::INT AS mask
+  FROM w LEFT JOIN l USING (doc_id) GROUP BY part, mask
+), f AS (
+  SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) t(name, bit)
+), o AS (
+  SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM f a, f b, f c, f d, f e WHERE (a.bit | b.bit | c.bit | d.bit | e.bit) = 31
+), s AS (
+  SELECT filter_order, step, bits[step] AS bit, list_sum(bits[1:step - 1]) AS before FROM o, range(1, 6) r(step)
+), r AS (
+  SELECT part, filter_order, step, bit,
+    coalesce(sum(n) FILTER ((mask & (coalesce(before, 0)::INT | bit)) = 0), 0) AS kept,
+    coalesce(sum(n) FILTER ((mask & coalesce(before, 0)::INT) = 0 AND (mask & bit) > 0), 0) AS removed,
+    coalesce(sum(n) FILTER ((mask & coalesce(before, 0)::INT) > 0 AND (mask & bit) > 0), 0) AS redundant,
+    coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+    coalesce(sum(good) FILTER ((mask & coalesce(before, 0)::INT) = 0 AND (mask & bit) > 0), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER ((mask & coalesce(before, 0)::INT) = 0 AND (mask & bit) > 0), 0) AS toxic_lost
+  FROM m, s GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM r
+"""
