@@ -74,7 +74,7 @@ def test_stretches_hold_every_window_once():
     texts = [t.encode() for t in made(4, 30)] + [b"", b"a" * 99, b"a" * 100]
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     _, _, first, windows = stretches(np.frombuffer(b"".join(texts), np.uint8), offsets, LENGTH)
-    starts = [p for a, n in zip(first.tolist(), windows.tolist()) for p in range(a, a + n)]
+    starts = [p for a, n in zip(first.tolist(), windows.tolist()) for p in range(a, a + abs(n))]
     assert starts == [int(o) + p for o, t in zip(offsets, texts) for p in range(len(t) - LENGTH + 1)]
 
 
@@ -88,6 +88,11 @@ def test_equals_a_set_of_windows(spark, monkeypatch):
     assert found(spark, rows) == plain(rows)
 
 
+def test_repeats_within_one_text(spark):
+    rows = [(0, "Nd, " * 60), (1, "q" * 101), (2, "abc" * 34 + "."), (3, "w" * 100), (4, "xyz" * 500 + "-" + "xyz" * 30)]
+    assert found(spark, rows) == plain(rows)
+
+
 def test_hot_marks_go_by_digest(spark, monkeypatch):
     monkeypatch.setattr(suffixdedup, "HOT", 3)
     rng = random.Random(6)

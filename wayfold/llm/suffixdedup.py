@@ -60,8 +60,10 @@ def least_of(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Mark, hash of the text, first byte and number of windows of each run of windows with one mark."""
-    marks = least_of(gram_hashes(data), length - GRAM + 1)
+    """Mark, hash of the text, first byte and number of windows of each run of windows with one mark; the number is
+    negative if the mark's gram occurs in it more than once, as it must where a window comes again in its own run."""
+    grams, reach = gram_hashes(data), length - GRAM + 1
+    marks = least_of(grams, reach)
     sizes = np.diff(offsets)
     # A window is one only if it ends in the text it starts in.
     inside = np.repeat(offsets[1:], sizes)[: len(marks)] - np.arange(len(marks)) >= length
@@ -71,7 +73,15 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nd
     first = np.flatnonzero(inside & ~same)
     breaks = np.flatnonzero(~inside)
     stop = np.minimum(np.append(first[1:], len(marks)), np.append(breaks, len(marks))[np.searchsorted(breaks, first)])
-    return marks[first].view(np.int64), span_hashes(data, first, stop - 1 + length).view(np.int64), first, stop - first
+    # Grams that are the mark of some window: as great as the greatest mark of the windows around them.
+    around = np.concatenate([np.full(reach - 1, 2**64 - 1, np.uint64), ~marks, np.full(reach - 1, 2**64 - 1, np.uint64)])
+    peaks = np.flatnonzero(grams[: len(marks) + reach - 1] == ~least_of(around, reach))
+    low, high = np.searchsorted(peaks, first), np.searchsorted(peaks, stop + reach - 1)
+    owner = np.repeat(np.arange(len(first)), high - low)
+    inner = peaks[np.arange(len(owner)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + np.repeat(low, high - low)]
+    times = np.bincount(owner[grams[inner] == marks[first][owner]], minlength=len(first))
+    windows = np.where(times > 1, first - stop, stop - first)
+    return marks[first].view(np.int64), span_hashes(data, first, stop - 1 + length).view(np.int64), first, windows
 
 
 def _marked(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -94,13 +104,14 @@ def _marked(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
 
 def _sieved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of stretches sorted by (mark, text, id, start): those that repeat an earlier one (_copy), and the first of each text
-    of a mark that has several texts."""
-    held: list[np.ndarray] | None = None  # the first stretch of a mark of which no other text has come yet
+    if its mark has several texts or comes in it more than once."""
+    held: list[np.ndarray] | None = None  # a mark's first stretch that goes out once another text of the mark comes
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        mark, same, doc, start, windows = columns = [c.to_numpy() for c in batch.columns]
+        columns = [c.to_numpy() for c in batch.columns]
+        twice, columns[4] = columns[4] < 0, np.abs(columns[4])
         before = [np.concatenate([[0 if last is None else last[k]], c[:-1]]) for k, c in enumerate(columns[:4])]
         equal = [c == p for c, p in zip(columns[:4], before)]
         if last is None:
@@ -112,11 +123,12 @@ def _sieved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(new)
         opens = ~equal[0][at]
         # Every text of a mark but its first shows that the mark has several; the first goes out once a second is seen.
-        out = [c[at[~opens]] for c in columns]
+        out = [c[at[~opens | twice[at]]] for c in columns]
         group = np.cumsum(opens)
         several = np.zeros(int(group[-1]) + 1 if len(group) else 1, bool)
         several[group[~opens]] = True
         firsts = at[opens][several[1:]]
+        firsts = firsts[~twice[firsts]]
         parts = [[c[firsts] for c in columns], out]
         if held is not None and several[0]:
             parts.append([np.array([x]) for x in held])
@@ -124,7 +136,7 @@ def _sieved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = None
         if opens.any():
             row = at[opens][-1]
-            held = None if several[-1] else [c[row] for c in columns]
+            held = None if several[-1] or twice[row] else [c[row] for c in columns]
         found = [np.concatenate(x) for x in zip(*parts)]
         copies = [c[copy] for c in columns]
         flags = np.concatenate([np.zeros(len(found[0]), bool), np.ones(len(copies[0]), bool)])
