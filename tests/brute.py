@@ -1,115 +1,105 @@
-"""Plain sequential versions of the ordered operators, to compare with."""
+"""The ordered rules worked out another way, to compare with: tables of next places, followed afterwards."""
 
-import math
+import bisect
+import itertools
 
-R = 6_371_000.0
+import numpy as np
 
+RADIUS_OF_EARTH = 6_371_000.0
 
-def hav(a, b, c, d):
-    p, q = math.radians(a), math.radians(c)
-    h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(d - b) / 2) ** 2
-    return 2 * R * math.asin(min(1.0, math.sqrt(h)))
+
+def metres(samples):
+    """Distances between all samples, as a matrix."""
+    lat, lon = np.radians([[s[1], s[2]] for s in samples]).T
+    half = np.sin((lat[:, None] - lat) / 2) ** 2 + np.cos(lat)[:, None] * np.cos(lat) * np.sin((lon[:, None] - lon) / 2) ** 2
+    return 2 * RADIUS_OF_EARTH * np.arcsin(np.sqrt(np.minimum(1.0, half)))
+
+
+def first_after(hits):
+    """For each row of a square table, the first place behind the diagonal that is True, or the size of the table."""
+    later = np.triu(hits, 1)
+    return np.where(later.any(axis=1), later.argmax(axis=1), len(hits))
+
+
+def followed(successor, start):
+    """Places from start on, each the successor of the one before, as long as they lie in the table."""
+    place = start
+    while place < len(successor):
+        yield place
+        place = int(successor[place])
 
 
 def stops(samples, radius=50.0, dwell=120.0):
     """(arrived, departed or None) in seconds."""
-    out, i, n = [], 0, len(samples)
-    while i < n:
-        j = i + 1
-        while j < n and hav(*samples[i][1:3], *samples[j][1:3]) <= radius:
-            j += 1
-        if samples[j - 1][0] - samples[i][0] >= dwell and n > 1:
-            out.append((samples[i][0], samples[j - 1][0] if j < n else None))
-            i = j
-        else:
-            i += 1
-    return out
+    times = np.array([s[0] for s in samples])
+    leaves = first_after(metres(samples) > radius)
+    lasting = times[leaves - 1] - times >= dwell
+    successor = np.where(lasting, leaves, np.arange(len(samples)) + 1)
+    return [
+        (samples[k][0], samples[leaves[k] - 1][0] if leaves[k] < len(samples) else None)
+        for k in followed(successor, 0) if lasting[k]
+    ]
 
 
 def trips(samples, found, gap=600.0):
     """(started, ended, metres)."""
-    spans = [(a, math.inf if d is None else d) for a, d in found]
-    out, run, last = [], [], None
-
-    def close():
-        if len(run) >= 2:
-            metres = sum(hav(*p[1:3], *q[1:3]) for p, q in zip(run, run[1:]))
-            out.append((run[0][0], run[-1][0], metres))
-        run.clear()
-
-    for s in samples:
-        if any(a <= s[0] <= d for a, d in spans):
-            close()
-        else:
-            if run and s[0] - last > gap:
-                close()
-            run.append(s)
-        last = s[0]
-    close()
+    times = [s[0] for s in samples]
+    parked = np.zeros(len(samples) + 1, dtype=int)
+    for arrived, departed in found:
+        parked[bisect.bisect_left(times, arrived)] += 1
+        parked[len(times) if departed is None else bisect.bisect_right(times, departed)] -= 1
+    moving = np.cumsum(parked)[:-1] == 0
+    broken = np.concatenate([[True], (np.diff(times) > gap) | ~moving[:-1]])
+    labels = np.cumsum(broken)
+    step = metres(samples).diagonal(1)
+    out = []
+    for _, group in itertools.groupby(np.flatnonzero(moving).tolist(), key=lambda k: labels[k]):
+        places = list(group)
+        first, last = places[0], places[-1]
+        if last > first:
+            out.append((times[first], times[last], float(step[first:last].sum())))
     return out
 
 
 def link(found, made):
-    out = []
-    for arrived, _ in found:
-        before = [t for t in made if t[1] <= arrived]
-        out.append(max(before, key=lambda t: t[1])[0] if before else None)
-    return out
+    """The start of the trip that ended last before each stop."""
+    made = sorted(made, key=lambda t: t[1])
+    before = [bisect.bisect_right([t[1] for t in made], arrived) for arrived, _ in found]
+    return [made[k - 1][0] if k else None for k in before]
 
 
 def client(samples, radius=50.0, dwell=90.0, still=1.0):
-    """(kind, arrived, departed or None)."""
+    """(kind, arrived, departed or None), from the interval that each still sample would dwell."""
+    times = np.array([s[0] for s in samples])
+    leaves = first_after(metres(samples) > radius)
+    rests = [k for k, s in enumerate(samples) if s[3] is None or s[3] <= still]
+    next_rest = np.array([*rests, len(samples)])[np.searchsorted(rests, np.arange(len(samples) + 1))]
     out = []
-    anchor = inside = None
-    is_open = False
-    for t, lat, lon, speed in samples:
-        if anchor and hav(anchor[1], anchor[2], lat, lon) <= radius:
-            inside = t
-            if not is_open and t - anchor[0] >= dwell:
-                is_open = True
-                out.append(("arrived", anchor[0], None))
-            continue
-        if is_open:
-            out.append(("departed", anchor[0], inside))
-        is_open = False
-        if speed is None or speed <= still:
-            anchor, inside = (t, lat, lon), t
-        else:
-            anchor = inside = None
+    for k in followed(next_rest[leaves], int(next_rest[0])):
+        if times[leaves[k] - 1] - times[k] >= dwell:
+            out.append(("arrived", samples[k][0], None))
+            if leaves[k] < len(samples):
+                out.append(("departed", samples[k][0], samples[leaves[k] - 1][0]))
     return out
 
 
 def thin(samples, least=15.0):
     """Times kept."""
-    if len(samples) <= 2:
-        return [s[0] for s in samples]
-    kept = []
-    for s in samples:
-        if not (math.isfinite(s[1]) and math.isfinite(s[2])):
-            continue
-        if kept:
-            north = (s[1] - kept[-1][1]) * 111_320
-            east = (s[2] - kept[-1][2]) * 111_320 * math.cos(math.radians(s[1]))
-            if math.hypot(north, east) < least:
-                continue
-        kept.append(s)
-    if not kept or kept[-1] is not samples[-1]:
-        kept.append(samples[-1])
-    return [s[0] for s in kept]
+    place = np.array([[s[1], s[2]] for s in samples])
+    known = np.flatnonzero(np.isfinite(place).all(axis=1))
+    lat, lon = place[known].T if len(known) else (np.zeros(0), np.zeros(0))
+    flat = np.hypot(lat - lat[:, None], (lon - lon[:, None]) * np.cos(np.radians(lat))) * 111_320
+    kept = {int(known[k]) for k in followed(first_after(flat >= least), 0)} | {len(samples) - 1}
+    return [s[0] for k, s in enumerate(samples) if k in kept or len(samples) <= 2]
 
 
 def tiers(wanted, dwell=120.0):
-    """wanted: (seconds, tier); returns the changes."""
-    tier, pending, out = "active", None, []
-    for t, want in wanted:
-        if want == tier:
-            pending = None
-        elif want == "active":
-            tier, pending = want, None
-            out.append((t, want))
-        elif pending is None or pending[0] != want:
-            pending = (want, t)
-        elif t - pending[1] >= dwell:
-            tier, pending = want, None
-            out.append((t, want))
+    """wanted: (seconds, tier); returns the changes. A run of one wish decides by itself whether and when it is granted."""
+    now, out = "active", []
+    for wish, run in itertools.groupby(wanted, key=lambda x: x[1]):
+        times = [t for t, _ in run]
+        granted = times[:1] if wish == "active" else [t for t in times[1:] if t - times[0] >= dwell][:1]
+        if wish != now and granted:
+            now = wish
+            out.append((granted[0], wish))
     return out
