@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import at, make_positions, track
-from test_sources import batch, reading, write_lines
+from test_sources import batch, reading, stamp, write_lines
 from wayfold import schema
 from wayfold.functions.validation import _text
 from wayfold.operators.client import detect_client_stops, stops_from_emissions
@@ -16,7 +16,7 @@ from wayfold.operators.reads import active_days, first_n
 from wayfold.plans.derivation import Derivation, _shaped, run_derivation, store_run
 from wayfold.session import materialise
 from wayfold.sources import batches as wire
-from wayfold.sources import tables
+from wayfold.sources import idindex, tables
 from wayfold.streaming import ingest
 
 UTC = dt.timezone.utc
@@ -68,12 +68,74 @@ def test_a_retried_epoch_counts_the_same(spark, tmp_path):
     write_lines(tmp_path / "in", "a.json", [batch("d", [reading("r1"), reading("r2"), reading("r2")])])
     batches = wire.read_batches(spark, f"{tmp_path}/in")
     for _ in range(2):
-        ingest.ingest_batch(target, batches, 0, F.lit(at(5)))
+        ingest.ingest_batch(target, batches, 0, F.lit(at(5)), "s")
         row = spark.read.parquet(target.path("audit")).first()
-        assert (row.enqueued, row.inserted, row.duplicates) == (3, 2, 1)
+        assert (row.enqueued, row.inserted, row.duplicates, row.failures) == (3, 2, 1, 0)
         assert tables.read_positions(spark, target.path("positions")).count() == 2
 
 
+@pytest.mark.parametrize("where", ["append_positions", "collapse_by_id", "load_audit"])
+def test_a_load_cut_off_goes_on(spark, tmp_path, monkeypatch, where):
+    """A failure before, after or between the writes: the retry adds what is missing and nothing twice."""
+    target = ingest.Target(str(tmp_path / "tables"))
+    write_lines(tmp_path / "in", "a.json", [batch("d", [reading("r1"), reading("r2")], [{"event_id": "e", "arrived_at": stamp(0), "lat": 1, "lon": 2}])])
+    batches, real = wire.read_batches(spark, f"{tmp_path}/in"), getattr(ingest, where)
+
+    def failing(*args):
+        if where == "append_positions":
+            real(args[0].limit(1), *args[1:])
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(ingest, where, failing)
+    with pytest.raises(RuntimeError):
+        ingest.ingest_batch(target, batches, 3, F.lit(at(5)), "s")
+    monkeypatch.setattr(ingest, where, real)
+    # Meanwhile another stream brings one of the ids, which the first load may have stored or not.
+    write_lines(tmp_path / "in2", "b.json", [batch("d", [reading("r2")])])
+    ingest.ingest_batch(target, wire.read_batches(spark, f"{tmp_path}/in2"), 0, F.lit(at(5)), "t")
+    ingest.ingest_batch(target, batches, 3, F.lit(at(5)), "s")
+    assert sorted(r.reading_id for r in tables.read_positions(spark, target.path("positions")).collect()) == ["r1", "r2"]
+    rows = {r.stream: tuple(r)[1:] for r in ingest.load_counters(spark, target).collect()}
+    assert rows == {"s": (1, 2, 2, 0, 0, 1, 1), "t": (1, 1, 0, 1, 0, 0, 0)}
+    assert ingest.read_client_stops(spark, target).count() == 1
+    assert not (tmp_path / "tables" / "staged" / "load=s-3").exists()
+
+
+def test_same_epoch_of_two_streams(spark, tmp_path):
+    target = ingest.Target(str(tmp_path / "tables"))
+    write_lines(tmp_path / "a", "a.json", [batch("d", [reading("z1"), reading("r1", lat=1.0)])])
+    write_lines(tmp_path / "b", "b.json", [batch("d", [reading("a1"), reading("z1", 9), reading("m1", 100_000 * 86)])])
+    for stream, folder in (("s", "a"), ("t", "b"), ("new", "b"), (None, "a"), (None, "a")):
+        ingest.ingest_batch(target, wire.read_batches(spark, f"{tmp_path}/{folder}"), 0, F.lit(at(9_000_000)), stream)
+    stored = tables.read_positions(spark, target.path("positions")).collect()
+    assert sorted(r.reading_id for r in stored) == ["a1", "m1", "r1", "z1"]
+    assert {r.reading_id: r.recorded_at for r in stored}["z1"] == at(0).replace(tzinfo=None)
+    assert [r.seq for r in spark.read.parquet(target.path("audit")).orderBy("seq").collect()] == [0, 1, 2, 3, 4]
+    seen = ingest.load_counters(spark, target).agg(F.sum("inserted"), F.sum("duplicates")).first()
+    assert tuple(seen) == (4, 8)
+
+
+def test_id_index(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(idindex, "BUCKET_IDS", 50)
+    index = idindex.IdIndex(spark, str(tmp_path / "index"))
+    ids = lambda numbers: spark.createDataFrame([(f"id{k}",) for k in numbers], "x string")
+    assert index.known(ids(range(3))).count() == 0
+    for k in range(9):
+        index.add(ids(range(100 * k, 100 * k + 130)), f"r{k}")
+        index.add(ids(range(100 * k, 100 * k + 130)), f"r{k}")
+    index.add(ids([]), "none")
+    assert len(index.runs()) == 9 and {b for _, b, _ in index.runs()} == {4}
+    asked = [*range(0, 2000, 7)]
+    expected = sorted(f"id{k}" for k in asked if k < 930)
+    assert sorted(r.id for r in index.known(ids(asked * 2)).collect()) == expected
+    index.compact()
+    assert [(b, n) for _, b, n in index.runs()] == [(32, 930)]
+    assert sorted(r.id for r in index.known(ids(asked)).collect()) == expected
+    # Of the many buckets only those of the ids that are there are read.
+    plan = index.known(ids([5]))
+    assert len(plan.inputFiles()) <= 3 < 32
+
+
 @pytest.mark.parametrize("time", ["2026-09-01T09:00:00", "2026-09-01", "2026", "2026-13-01T00:00:00Z", "noon"])
 def test_malformed_times_refuse_the_batch(spark, time):
     lines = [batch("good", [reading("r1")]), batch("bad", [reading("r2"), reading("r3", recorded_at=time)])]

@@ -650,6 +650,21 @@ def ingest_stream(spark, d):
     return stored.select("reading_id", us("recorded_at"), "lat", big("battery_pct"))
 
 
+@query
+def ingest_streams(spark, d):
+    """Two streams and, later, a new checkpoint whose epochs count from 0 again, all loading one target: every id once."""
+    root = f"{ensure_checkpoint_dir(spark)}/ingest-{uuid.uuid4()}"
+    sent = materialise(sent_batches(spark, d))
+    wire.write_batches(sent.filter("batch_no % 3 <> 1"), f"{root}/one")
+    wire.write_batches(sent.filter("batch_no % 3 <> 0"), f"{root}/two")
+    target = ingest.Target(f"{root}/tables")
+    for folder, checkpoint in (("one", "a"), ("two", "b"), ("two", "c")):
+        source = wire.read_batches(spark, f"{root}/{folder}", streaming=True)
+        ingest.start_ingest(source, target, f"{root}/{checkpoint}", {"availableNow": True}, moment(NOW)).awaitTermination()
+    stored = spark.read.parquet(target.path("positions"))
+    return stored.groupBy("reading_id").agg(big(F.count(F.lit(1))).alias("times"), F.min(us("recorded_at")).alias("recorded_us"))
+
+
 # Loads
 
 

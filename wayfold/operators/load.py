@@ -20,6 +20,12 @@ def first_writes(batch: DataFrame, key: str, order: list) -> DataFrame:
     return batch.groupBy(F.col(key).alias("_key")).agg(first.alias("r")).select("r.*")
 
 
+def new_positions(known: DataFrame, batch: DataFrame, order: tuple = ("received_at",)) -> DataFrame:
+    """The first row of each reading_id of the batch that known does not have."""
+    firsts = first_writes(batch, "reading_id", list(order))
+    return firsts.join(known, "reading_id", "left_anti").select(*batch.columns)
+
+
 def load_positions(
     existing: DataFrame, batch: DataFrame, order: tuple = ("received_at",)
 ) -> tuple[DataFrame, DataFrame]:

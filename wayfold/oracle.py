@@ -411,6 +411,7 @@ SELECT * FROM j WHERE reason IS NOT NULL""",
     "telemetry_batches": q(READINGS),
     "telemetry_stops": q(CLIENT, "SELECT 'dev-' || vehicle_id AS device_id, arrived_us, departed_us, lat, lon FROM emitted"),
     "ingest_stream": q("SELECT reading_id, us AS recorded_us, lat, CAST(battery_pct AS BIGINT) AS battery_pct FROM pos"),
+    "ingest_streams": q("SELECT reading_id, CAST(1 AS BIGINT) AS times, us AS recorded_us FROM pos"),
     "ingest_response": q(
         JUDGED, CLIENT,
         "SELECT 'dev-' || vehicle_id AS device_id, CAST(sum(r) AS BIGINT) AS accepted, CAST(sum(s) AS BIGINT) AS accepted_stops FROM ("

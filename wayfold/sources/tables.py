@@ -84,8 +84,7 @@ def replace_rows(
     left = {r[0] for r in after.select(DATE).distinct().collect()}
     after.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DATE).parquet(path)
     for date in set(dates) - left:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{DATE}={date}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        remove(spark, f"{path}/{DATE}={date}")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -94,6 +93,19 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(jvm_path) and len(files.listStatus(jvm_path)) > 0
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder and what is in it; one that does not exist is no error."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; none if it does not exist."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+
+
 def read_table(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     """A parquet table, empty when nothing has been written yet."""
     if not exists(spark, path):
