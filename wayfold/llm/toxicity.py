@@ -22,8 +22,9 @@ from wayfold.llm.store import free_names, written
 #: Labelled texts, about, that the lexicon and the weights are learned from, and texts whose labels are never looked at.
 TRAINING_ROWS = 20_000
 HELD_OUT_FOLDS = 5
-#: Toxic texts of the sample that a word or beginning needs at least, also as a share of all, and its log odds.
-LEAST_TEXTS, LEAST_SHARE, LEAST_ODDS = 5, 0.02, 3.5
+#: Toxic texts of the sample that a word or beginning needs at least, its log odds, and these less one standard error.
+#: None depends on the size of the sample.
+LEAST_TEXTS, LEAST_ODDS, SURE_ODDS = 5, 3.5, 2.5
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
 #: Words up to which a negation reaches.
 NEGATION_REACH = 3
@@ -216,7 +217,9 @@ def learn_lexicon(texts: DataFrame) -> dict[str, float]:
     counts = texts.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "feature string, toxic long, clean long")
     counts = counts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
-    rows = counts.select("feature", "toxic", odds.alias("odds")).where((F.col("toxic") >= max(LEAST_TEXTS, LEAST_SHARE * n_toxic)) & (F.col("odds") >= LEAST_ODDS))
+    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
+    sure = (F.col("toxic") >= LEAST_TEXTS) & (odds >= LEAST_ODDS) & (odds - error >= SURE_ODDS)
+    rows = counts.select("feature", "toxic", odds.alias("odds"), sure.alias("sure")).where("sure")
     return {r["feature"]: r["odds"] for r in rows.collect()}
 
 
