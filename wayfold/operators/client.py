@@ -10,7 +10,8 @@ from wayfold.config import ClientConfig
 from wayfold.functions.predicates import is_stationary, usable_fix
 from wayfold.operators.fold import US, fold
 from wayfold.operators.ordered import Slicing, resolve_slicing
-from wayfold.operators.stops import KEYS, box_of, box_within, event_id, first_jump, first_outside
+from wayfold.operators.reach import Blocks, Near, ends_of, first_piece_beyond, pieces_of
+from wayfold.operators.stops import KEYS, event_id, first_jump, first_outside
 
 
 def advance(state, us, lat, lon, still, radius, dwell_us):
@@ -85,13 +86,25 @@ class ClientKernel:
     def cut(self, cols):
         return first_jump(cols[US], cols["lat"], cols["lon"], 2 * self.radius * (1 + 1e-9))
 
-    def box(self, cols):
-        return box_of(cols)
-
-    def skip(self, state, box):
-        if state and state["open"] and box_within(box, *state["anchor"][:2], self.radius):
-            return {**state, "last": box[4]}
-        return None
+    def outline(self, cols):
+        """Where the detector ends if it looks for a candidate from a row of the slice on, by the rows' outermost points."""
+        us, lat, lon, still = cols[US], cols["lat"], cols["lon"], cols["still"].astype(bool)
+        n, rests = len(us), np.flatnonzero(still)
+        leaves = Blocks(lat, lon).first_beyond(lat[rests], lon[rests], rests + 1, Near(self.radius))
+        successor = np.minimum(np.arange(n + 1) + 1, n)
+        successor[rests] = np.where(leaves < n, leaves, rests)
+        ends, states = ends_of(successor), {}
+        for end in np.unique(ends).tolist():
+            anchor = [float(lat[end]), float(lon[end]), int(us[end])] if end < n else None
+            states[end] = anchor and {"anchor": anchor, "last": int(us[-1]), "open": bool(us[-1] - us[end] >= self.dwell_us)}
+        return {"pieces": pieces_of(ends[:n], lat, lon, self.radius), "states": states, "last": int(us[-1])}
+
+    def enter(self, state, outline):
+        end = first_piece_beyond(outline["pieces"], *state["anchor"][:2], Near(self.radius))
+        if end is not None:
+            return outline["states"][str(end)], False
+        is_open = state["open"] or outline["last"] - state["anchor"][2] >= self.dwell_us
+        return {"anchor": state["anchor"], "last": outline["last"], "open": is_open}, state["open"] == is_open
 
 
 def usable_fixes(fixes: DataFrame, cfg: ClientConfig = ClientConfig()) -> DataFrame:

@@ -1,14 +1,14 @@
-"""Sequential per-key logic run in parallel over time slices.
+"""Sequential per-key logic run in parallel over time slices, in a fixed number of passes.
 
-Some operators walk a timeline and remember a small state (an anchor, a tier). A kernel processes
-one (key, slice) group, taking the state left by the slice before it and returning its own. When a
-key spans several slices, every slice first runs from a fresh state; then the states are chained
-over one summary row per slice, and what turns out to start from another state runs again, until
-each slice has been run from exactly the state its predecessor left. Results equal those of one
-uninterrupted walk, and no task ever holds more than one slice of rows.
+Some operators walk a timeline and remember a small state (an anchor, a tier). A kernel processes one (key, slice) group,
+taking the state left by the slice before it and returning its own. When a key spans several slices, every slice first
+runs from a fresh state and also says what it makes of any other: a map from entry to exit states, as one summary row. One
+pass over the summaries composes the maps, so that every slice learns the state it really starts from; slices that start
+from another state than the fresh one run once more, and that is all. Results equal those of one uninterrupted walk, and
+no task holds more than one slice of rows, whatever the number of slices.
 
-Most slices contain a cut: a row from which on the walk is the same whatever came before. Then the
-state a slice leaves is known after the first run, and only its rows before the cut run again.
+Most slices contain a cut: a row from which on the walk is the same whatever came before. Then only the rows before the
+cut run again.
 
 A kernel is a small picklable object with
   columns  input columns besides the time `_us` (microseconds), never NULL
@@ -18,9 +18,9 @@ A kernel is a small picklable object with
   finish(state) -> {field: values}                what is still owed after the last row
   cut_off(state) -> {field: values}               what is owed when the next row is a cut
   cut(cols) -> index or None                      first cut of a slice
-  box(cols) -> JSON value                         summary of a slice, input to `skip`
-  skip(state, box) -> state or None               exit state if the slice provably emits nothing
-States and boxes are JSON values; None is the fresh state.
+  outline(cols) -> JSON value                     what `enter` needs to know of a slice
+  enter(state, outline) -> (state, silent)        exit state from an entry state; whether the slice surely emits nothing
+States and outlines are JSON values; None is the fresh state.
 """
 
 import json
@@ -40,9 +40,9 @@ FRESH = "null"
 
 def fold(df: DataFrame, keys: list[str], ts: str, tie: list[str], kernel, slicing: Slicing) -> DataFrame:
     """Run `kernel` over every key of df in (ts, *tie) order; returns keys + kernel.fields."""
-    rows = df.select(
+    rows = slicing.attach(df, keys, ts).select(
         *keys,
-        slicing.column(ts).alias(SLICE),
+        SLICE,
         F.unix_micros(F.col(ts).cast("timestamp")).alias(US),
         *[c for c in kernel.columns if c not in keys],
         *[F.col(c).alias(f"_tie{i}") for i, c in enumerate(tie)],
@@ -53,34 +53,27 @@ def fold(df: DataFrame, keys: list[str], ts: str, tie: list[str], kernel, slicin
         placed = _place(rows, keys, len(tie)).select(*keys, US, *kernel.columns)
         return placed.mapInArrow(_whole_scan(keys, kernel), ", ".join(key_ddl + fields))
 
-    bookkeeping = [f"{SLICE} bigint", "_entry string", "_exit string", "_box string", "_cut bigint"]
+    bookkeeping = [f"{SLICE} bigint", "_entry string", "_exit string", "_outline string", "_cut bigint"]
     scan_ddl = ", ".join(key_ddl + bookkeeping + fields)
-    plan_ddl = ", ".join(key_ddl + bookkeeping + ["_action string"])
+    plan_ddl = ", ".join(key_ddl + [f"{SLICE} bigint", "_entry string", "_exit string", "_cut bigint", "_action string"])
     group = [*keys, SLICE]
-    book = ["_entry", "_exit", "_box", "_cut"]
     blank = {"_entry": F.lit(None).cast("string"), "_cut": F.lit(None).cast("bigint")}
 
     def scan(part):
         placed = _place(part, keys, len(tie)).select(*group, "_entry", "_cut", US, *kernel.columns)
-        done = materialise(placed.mapInArrow(_slice_scan(keys, kernel), scan_ddl))
-        states = done.filter("_exit is not null").select(*group, *book)
-        return states, done.filter("_exit is null").select(*group, *kernel.fields)
-
-    states, out = scan(rows.withColumns(blank))
-    while True:
-        placed = states.repartition(*keys).sortWithinPartitions(*group).select(*group, *book)
-        plan = materialise(placed.mapInArrow(_chain_scan(keys, kernel), plan_ddl))
-        pending = plan.filter("_action = 'run'").select(*group, "_entry", "_cut")
-        if pending.isEmpty():
-            break
-        again = rows.join(pending.select(*group, "_cut"), group)
-        again = again.filter(F.col("_cut").isNull() | (F.col(US) < F.col("_cut"))).drop("_cut")
-        rerun, news = scan(again.withColumns(blank).unionByName(_entry_rows(pending, rows)))
-        settled = plan.filter("_action <> 'run' or _cut is not null").drop("_action")
-        states = settled.unionByName(rerun)
-        out = _without(out, plan.filter("_action <> 'keep'"), group, kernel.mark).unionByName(news)
-
-    out = _without(out, plan.filter("_action = 'skip'"), group, kernel.mark)
+        return materialise(placed.mapInArrow(_slice_scan(keys, kernel), scan_ddl))
+
+    first = scan(rows.withColumns(blank))
+    states = first.filter("_exit is not null").select(*group, "_exit", "_outline", "_cut")
+    placed = states.repartition(*keys).sortWithinPartitions(*group)
+    plan = materialise(placed.mapInArrow(_chain_scan(keys, kernel), plan_ddl))
+    pending = plan.filter("_action = 'run'").select(*group, "_entry", "_cut")
+    again = rows.join(pending.select(*group, "_cut"), group)
+    again = again.filter(F.col("_cut").isNull() | (F.col(US) < F.col("_cut"))).drop("_cut")
+    second = scan(again.withColumns(blank).unionByName(_entry_rows(pending, rows)))
+    rows_of = lambda done: done.filter("_exit is null").select(*group, *kernel.fields)
+    changed = plan.filter("_action <> 'keep'").withColumn("_cut", F.when(F.col("_action") == "run", F.col("_cut")))
+    out = _without(rows_of(first), changed, group, kernel.mark).unionByName(rows_of(second))
     final = plan.groupBy(*keys).agg(F.max_by("_exit", SLICE).alias("_exit"))
     owed = final.mapInArrow(_finish_scan(keys, kernel), ", ".join(key_ddl + fields))
     return out.drop(SLICE).unionByName(owed)
@@ -206,7 +199,7 @@ def _whole_scan(keys, kernel):
 
 def _slice_scan(keys, kernel):
     by = [*keys, SLICE]
-    book = ["_entry", "_exit", "_box", "_cut"]
+    book = ["_entry", "_exit", "_outline", "_cut"]
 
     def run(batches):
         key_types, stream = _peeked(batches, by)
@@ -219,20 +212,22 @@ def _slice_scan(keys, kernel):
             entry, upto = cols.pop("_entry")[0], cols.pop("_cut")[0]
             if entry is not None:
                 cols = {c: v[1:] for c, v in cols.items()}
-            if entry is not None and upto == upto and upto is not None:
-                # Rows before a cut: what follows is known already.
-                state, out = kernel.run(json.loads(entry), cols) if len(cols[US]) else (json.loads(entry), {})
-                parts = (out, kernel.cut_off(state))
+            if entry is not None:
+                state, out = json.loads(entry), {}
+                if len(cols[US]):
+                    state, out = kernel.run(state, cols)
+                # Rows before a cut: what follows is known already. A slice without one ends in a state that is known.
+                before_cut = upto is not None and upto == upto
+                parts = (out, kernel.cut_off(state)) if before_cut else (out,)
             else:
-                entry = entry or FRESH
-                state, out = kernel.run(json.loads(entry), cols)
+                state, out = kernel.run(None, cols)
                 cut, parts = kernel.cut(cols), (out,)
                 writer.add(
                     1,
                     **at,
-                    _entry=entry,
+                    _entry=FRESH,
                     _exit=json.dumps(state),
-                    _box=json.dumps(kernel.box(cols)),
+                    _outline=json.dumps(kernel.outline(cols)),
                     _cut=None if cut is None else int(cols[US][cut]),
                 )
             for part in parts:
@@ -246,27 +241,30 @@ def _slice_scan(keys, kernel):
 
 
 def _chain_scan(keys, kernel):
-    """Walk the slice summaries of each key in order and decide what each slice still needs."""
+    """Walk the slice outlines of each key in order: the state every slice starts from, and what it still needs."""
+    names = [*keys, SLICE, "_entry", "_exit", "_cut", "_action"]
 
     def run(batches):
-        held, want = None, FRESH
+        held, state = None, None
         for batch in batches:
-            rows = batch.to_pylist()
-            for row in rows:
-                key = [row[k] for k in keys]
+            if not batch.num_rows:
+                continue
+            entries, exits, actions = [], [], []
+            columns = [batch.column(k).to_pylist() for k in (*keys, "_exit", "_outline")]
+            for *key, known, outline in zip(*columns):
                 if key != held:
-                    held, want = key, FRESH
-                row["_action"] = "keep"
-                if row["_entry"] != want:
-                    skipped = kernel.skip(json.loads(want), json.loads(row["_box"]))
-                    if skipped is not None:
-                        row["_action"], row["_exit"] = "skip", json.dumps(skipped)
-                    else:
-                        row["_action"] = "run"
-                    row["_entry"] = want
-                want = row["_exit"]
-            fields = [*batch.schema, pa.field("_action", pa.string())]
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(fields))
+                    held, state = key, None
+                entries.append(json.dumps(state))
+                if state is None:
+                    state, action = json.loads(known), "keep"
+                else:
+                    state, silent = kernel.enter(state, json.loads(outline))
+                    action = "skip" if silent else "run"
+                exits.append(json.dumps(state))
+                actions.append(action)
+            kept = [batch.column(k) for k in (*keys, SLICE)]
+            new = [pa.array(x, pa.string()) for x in (entries, exits)]
+            yield pa.RecordBatch.from_arrays([*kept, *new, batch.column("_cut"), pa.array(actions, pa.string())], names=names)
 
     return run
 

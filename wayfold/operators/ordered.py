@@ -33,6 +33,10 @@ class Slicing:
             return F.lit(0).cast("bigint")
         return F.expr(f"unix_micros(cast({ts} as timestamp)) div {self.width_us}L")
 
+    def attach(self, df: DataFrame, keys: list[str], ts: str) -> DataFrame:
+        """df with the slice of each row in SLICE; slices of a key are numbered in time order."""
+        return df.withColumn(SLICE, self.column(ts))
+
 
 WHOLE = Slicing(None)
 
@@ -88,7 +92,7 @@ def inside_slice(keys: list[str], order: list):
 
 def number_rows(df, keys, ts, order, slicing: Slicing, name="rn") -> DataFrame:
     """0-based position of each row in the order of its key."""
-    sliced = df.withColumn(SLICE, slicing.column(ts))
+    sliced = slicing.attach(df, keys, ts)
     local = F.row_number().over(inside_slice(keys, order)) - 1
     if slicing.whole:
         return sliced.withColumn(name, local.cast("bigint")).drop(SLICE)
@@ -100,7 +104,7 @@ def number_rows(df, keys, ts, order, slicing: Slicing, name="rn") -> DataFrame:
 
 def with_previous(df, keys, ts, order, columns, slicing: Slicing, name="prev") -> DataFrame:
     """Add struct `name` holding `columns` of the previous row of the key, NULL on the first row."""
-    sliced = df.withColumn(SLICE, slicing.column(ts))
+    sliced = slicing.attach(df, keys, ts)
     local = F.lag(F.struct(*columns)).over(inside_slice(keys, order))
     if slicing.whole:
         return sliced.withColumn(name, local).drop(SLICE)
@@ -112,7 +116,7 @@ def with_previous(df, keys, ts, order, columns, slicing: Slicing, name="prev") -
 
 def fill_forward(df, keys, ts, order, value: str, slicing: Slicing, name: str) -> DataFrame:
     """Add `name`: the latest non-null `value` at or before the row in the order of its key."""
-    sliced = df.withColumn(SLICE, slicing.column(ts))
+    sliced = slicing.attach(df, keys, ts)
     upto = inside_slice(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = F.last(value, ignorenulls=True).over(upto)
     if slicing.whole:

@@ -61,13 +61,31 @@ class TierKernel:
         hits = np.flatnonzero((cols["wanted"][:-1] == "active") & (us[1:] > us[:-1]))
         return int(hits[0]) + 1 if len(hits) else None
 
-    def box(self, cols):
-        wanted = cols["wanted"]
-        return str(wanted[0]) if (wanted == wanted[0]).all() else None
-
-    def skip(self, state, box):
-        tier = state["tier"] if state else "active"
-        return {"tier": tier, "pending": None} if box == tier else None
+    def outline(self, cols):
+        """The first run of one wish as far as a pending change may ask for it, and the state after the rest from each tier."""
+        us, wanted = cols[US], cols["wanted"]
+        change = np.flatnonzero(wanted[1:] != wanted[:-1])
+        size = int(change[0]) + 1 if len(change) else len(us)
+        head = min(size, int(np.searchsorted(us[:size], us[0] + self.dwell_us)) + 1)
+        rest = {c: v[size:] for c, v in cols.items()}
+        tiers = sorted({"active", *wanted.tolist()})
+        after = {}
+        if size < len(us):
+            # A tier that the slice does not name behaves like any other one that it does not: only its name stays.
+            for tier in [*tiers, "*"]:
+                after[tier] = self.run({"tier": tier, "pending": None}, rest)[0]
+        return {"wish": str(wanted[0]), "head": us[:head].tolist(), "last": int(us[size - 1]), "after": after}
+
+    def enter(self, state, outline):
+        first = {US: np.array(outline["head"]), "wanted": np.array([outline["wish"]] * len(outline["head"]), dtype=object)}
+        # A pending change is older than the slice, so it falls due within the head if it does at all.
+        now, changes = self.run(state, first)
+        silent = not changes["us"]
+        if outline["after"]:
+            later = outline["after"].get(now["tier"]) or outline["after"]["*"]
+            now = {**later, "tier": now["tier"] if later["tier"] == "*" else later["tier"]}
+            silent = False
+        return now, silent
 
 
 HOUR_US = 3_600_000_000

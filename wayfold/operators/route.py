@@ -12,6 +12,7 @@ from wayfold.functions.mapping import route_source
 from wayfold.functions.predicates import is_finite
 from wayfold.operators.fold import US, fold
 from wayfold.operators.ordered import Slicing, resolve_slicing
+from wayfold.operators.reach import Blocks, Closer, ends_of, first_piece_beyond, pieces_of
 
 
 @dataclass
@@ -90,23 +91,39 @@ class ThinKernel:
         hits = np.flatnonzero(far & (us[1:] > us[:-1]))
         return int(hits[0]) + 1 if len(hits) else None
 
-    def box(self, cols):
-        lat, lon = cols["lat"], cols["lon"]
-        ends = [float(lat.min()), float(lat.max()), float(lon.min()), float(lon.max())]
-        last = [int(cols[US][-1]), str(cols["reading_id"][-1]), float(lat[-1]), float(lon[-1])]
-        return [ends, last]
+    def outline(self, cols):
+        """Which point is the last one kept if a row is, by the rows' outermost points; the slice's rows as far as a route
+        of one or two rows needs them."""
+        us, rid, lat, lon = cols[US], cols["reading_id"], cols["lat"], cols["lon"]
+        finite = np.flatnonzero(np.isfinite(lat) & np.isfinite(lon))
+        n, y, x = len(finite), lat[finite], lon[finite]
+        leaves = Blocks(y, x).first_beyond(y, x, np.arange(n) + 1, Closer(self.min_m)) if n else finite
+        ends = ends_of(np.where(leaves < n, leaves, np.arange(n)))
 
-    def skip(self, state, box):
-        if not state or state["n"] < 3 or state["kept"] is None or not np.isfinite(box[0]).all():
-            return None
-        (south, north, west, east), last = box
-        lat, lon = state["kept"]
-        flattest = 0.0 if south <= 0 <= north else min(abs(south), abs(north))
-        up = max(abs(south - lat), abs(north - lat)) * METRES_PER_DEGREE
-        across = max(abs(west - lon), abs(east - lon)) * METRES_PER_DEGREE * np.cos(np.radians(flattest))
-        if np.hypot(up, across) < self.min_m * (1 - 1e-9):
-            return {"n": 3, "kept": state["kept"], "held": [], "final": last}
-        return None
+        def row(i):
+            return [int(us[i]), str(rid[i]), float(lat[i]), float(lon[i])]
+
+        return {
+            "pieces": pieces_of(ends, y, x, self.min_m) if n else [], "kept": {e: [float(y[e]), float(x[e])] for e in np.unique(ends).tolist()},
+            "last_end": n - 1 if n and finite[-1] == len(us) - 1 else None, "rows": len(us), "final": row(len(us) - 1),
+            "head": [row(i) for i in range(min(2, len(us)))],
+        }
+
+    def enter(self, state, outline):
+        rows, kept = outline["rows"], state["kept"]
+        n = min(3, state["n"] + rows)
+        if n <= 2:
+            # A second row after a first: like any run of two rows.
+            us, rid, lat, lon = (np.array(x) for x in zip(*outline["head"]))
+            return self.run(state, {US: us, "reading_id": rid, "lat": lat, "lon": lon})[0], False
+        if kept is None:
+            end = outline["pieces"][0][0] if outline["pieces"] else None
+        else:
+            end = first_piece_beyond(outline["pieces"], *kept, Closer(self.min_m))
+        if end is not None:
+            kept = outline["kept"][str(end)]
+        final = None if end is not None and end == outline["last_end"] else outline["final"]
+        return {"n": 3, "kept": kept, "held": [], "final": final}, end is None
 
 
 def thin(

@@ -10,6 +10,7 @@ from wayfold.config import DetectConfig
 from wayfold.functions.geo import haversine, np_haversine_m
 from wayfold.operators.fold import US, fold
 from wayfold.operators.ordered import Slicing, resolve_slicing
+from wayfold.operators.reach import Blocks, Near, ends_of, first_piece_beyond, pieces_of
 
 KEYS = ["vehicle_id"]
 
@@ -41,39 +42,16 @@ def first_jump(us, lat, lon, least):
     return int(hits[0]) + 1 if len(hits) else None
 
 
-def box_of(cols):
-    lat, lon = cols["lat"], cols["lon"]
-    return [float(lat.min()), float(lat.max()), float(lon.min()), float(lon.max()), int(cols[US][-1])]
-
-
-def box_within(box, lat, lon, radius):
-    """Whether every point of the box is surely within radius; its corners are the farthest points."""
-    south, north, west, east = box[:4]
-    corners = np_haversine_m(
-        lat, lon, np.array([south, south, north, north]), np.array([west, east, west, east])
-    )
-    return bool(corners.max() <= radius * (1 - 1e-9))
-
-
 def dwelling(us, lat, lon, radius, dwell_us):
     """For each sample as an anchor: does its run last dwell_us, and does it reach the last sample
     before that is known? A run is the samples following the anchor that stay within radius."""
     n = len(us)
-    lasting = np.full(n, dwell_us <= 0)
-    unknown = np.zeros(n, dtype=bool)
-    live = np.flatnonzero(~lasting)
-    ahead = 0
-    while live.size:
-        ahead += 1
-        inside = live + ahead < n
-        unknown[live[~inside]] = True
-        live = live[inside]
-        near = np_haversine_m(lat[live], lon[live], lat[live + ahead], lon[live + ahead]) <= radius
-        live = live[near]
-        long_enough = us[live + ahead] - us[live] >= dwell_us
-        lasting[live[long_enough]] = True
-        live = live[~long_enough]
-    return lasting, unknown
+    due = np.searchsorted(us, us + dwell_us)
+    if dwell_us <= 0:
+        return np.ones(n, dtype=bool), np.zeros(n, dtype=bool)
+    leaves = Blocks(lat, lon).first_beyond(lat, lon, np.arange(n) + 1, Near(radius), np.minimum(due + 1, n))
+    lasting = (due < n) & (leaves > due)
+    return lasting, (leaves >= n) & ~lasting
 
 
 @dataclass
@@ -139,13 +117,61 @@ class StopKernel:
         # No run holds two points further apart than twice the radius.
         return first_jump(cols[US], cols["lat"], cols["lon"], 2 * self.radius * (1 + 1e-9))
 
-    def box(self, cols):
-        return box_of(cols)
-
-    def skip(self, state, box):
-        if state and "stop" in state and box_within(box, *state["stop"][:2], self.radius):
-            return {"stop": state["stop"], "last": box[4]}
-        return None
+    def outline(self, cols):
+        """The first samples, as far as a tail may ask for them, and where the walk ends if it starts at a row of the slice:
+        [rows from which it ends so, by their outermost points] and the states of these ends."""
+        us, lat, lon = cols[US], cols["lat"], cols["lon"]
+        n = len(us)
+        lasting, unknown = dwelling(us, lat, lon, self.radius, self.dwell_us)
+        anchors = np.flatnonzero(lasting)
+        leaves = Blocks(lat, lon).first_beyond(lat[anchors], lon[anchors], anchors + 1, Near(self.radius))
+        successor = np.minimum(np.arange(n + 1) + 1, n)
+        successor[anchors] = np.where(leaves < n, leaves, anchors)  # a stop still open is an end
+        successor[:n][unknown] = np.flatnonzero(unknown)
+        ends = ends_of(successor)
+        states = {}
+        for end in np.unique(ends).tolist():
+            if end < n and lasting[end]:
+                states[end] = {"stop": [float(lat[end]), float(lon[end]), int(us[end])], "last": int(us[-1])}
+            elif end < n:
+                states[end] = {"tail": [us[end:].tolist(), lat[end:].tolist(), lon[end:].tolist()]}
+            else:
+                states[end] = None
+        head = min(n, int(np.searchsorted(us, us[0] + self.dwell_us)) + 1)
+        return {
+            "pieces": pieces_of(ends[:n], lat, lon, self.radius), "states": states, "last": int(us[-1]), "whole": head == n,
+            "head": [us[:head].tolist(), lat[:head].tolist(), lon[:head].tolist()], "ends": ends[:head].tolist(),
+        }
+
+    def enter(self, state, outline):
+        if "tail" in state:
+            return self._enter_tail(state["tail"], outline)
+        return self._enter_stop(state["stop"], outline)
+
+    def _enter_stop(self, anchor, outline):
+        end = first_piece_beyond(outline["pieces"], anchor[0], anchor[1], Near(self.radius))
+        if end is None:
+            return {"stop": anchor, "last": outline["last"]}, True
+        return outline["states"][str(end)], False
+
+    def _enter_tail(self, tail, outline):
+        """Samples of a tail are tried as anchors over the tail and the slice's first samples; these reach far enough to
+        tell whether a run lasts."""
+        us, lat, lon = (np.array([*a, *b]) for a, b in zip(tail, outline["head"]))
+        size, at = len(tail[0]), 0
+        while at < size:
+            out = first_outside(lat, lon, at + 1, float(lat[at]), float(lon[at]), self.radius)
+            last = len(us) - 1 if out is None else out - 1
+            if us[last] - us[at] < self.dwell_us:
+                if out is None:
+                    # The slice ends before that is known.
+                    return {"tail": [us[at:].tolist(), lat[at:].tolist(), lon[at:].tolist()]}, True
+                at += 1
+            elif out is None:
+                return self._enter_stop([float(lat[at]), float(lon[at]), int(us[at])], outline)[0], False
+            else:
+                at = out
+        return outline["states"][str(outline["ends"][at - size])], False
 
 
 def _stop_rows(found):
