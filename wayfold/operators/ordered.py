@@ -1,9 +1,9 @@
 """Per-vehicle ordered work that holds when one vehicle owns a large share of the rows.
 
-A window over a whole vehicle puts that vehicle in one task. Here a vehicle's timeline is cut into
+A window over a whole vehicle puts that vehicle in one task. Here a busy vehicle's timeline is cut into
 time slices; windows run inside (vehicle, slice), and what a slice needs from earlier ones is
 carried over by a per-slice summary (one row per non-empty slice). `choose_slicing` measures the
-data: as long as no vehicle exceeds `target_rows`, a plain per-vehicle window is kept.
+data: only vehicles of more than `target_rows` rows are cut, each by its own rows.
 """
 
 from dataclasses import dataclass
@@ -11,11 +11,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfold.session import materialise
+
 SLICE = "_slice"
 TARGET_ROWS = 500_000
-DAY_US, HOUR_US = 86_400_000_000, 3_600_000_000
-# Slice widths tried in turn: one day, one hour, five minutes, twenty seconds, one second, 50 ms.
-WIDTHS_US = (DAY_US, 3_600_000_000, 300_000_000, 20_000_000, 1_000_000, 50_000)
+DAY_US, SECOND_US = 86_400_000_000, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -38,35 +38,51 @@ class Slicing:
         return df.withColumn(SLICE, self.column(ts))
 
 
+@dataclass(frozen=True)
+class KeySlicing:
+    """Busy keys cut by their own rows, all others whole, in one plan. cuts: (keys, _day, _cuts), a row for each day of a
+    busy key with the ascending first microseconds of its slices. Rows that it is attached to lie on such days."""
+
+    cuts: DataFrame
+
+    @property
+    def whole(self) -> bool:
+        return False
+
+    def attach(self, df: DataFrame, keys: list[str], ts: str) -> DataFrame:
+        moment = F.expr(f"unix_micros(cast({ts} as timestamp))")
+        dated = df.withColumn("_day", F.expr(f"unix_micros(cast({ts} as timestamp)) div {DAY_US}L"))
+        first = F.array_max(F.filter("_cuts", lambda cut: cut <= moment))
+        return dated.join(self.cuts, [*keys, "_day"], "left").withColumn(SLICE, F.coalesce(first, F.lit(0))).select(*df.columns, SLICE)
+
+
 WHOLE = Slicing(None)
 
 
-def choose_slicing(df: DataFrame, keys: list[str], ts: str, target_rows: int = TARGET_ROWS) -> Slicing:
-    """The widest slicing under which no (keys, slice) group holds more than target_rows rows.
+def choose_slicing(df: DataFrame, keys: list[str], ts: str, target_rows: int = TARGET_ROWS) -> Slicing | KeySlicing:
+    """Keys of more than target_rows rows cut into slices of about so many, the others whole.
 
-    One scan counts hours and sums them up to days and whole vehicles; only rows denser than the target
-    within an hour cost a scan for each narrower width. Each scan combines map-side and returns a few
-    numbers. At the narrowest width a group may still exceed the target: nothing narrower is tried.
+    One scan counts the days of each key. Only for days that hold too many rows themselves are seconds counted, and cut where
+    their running sum passes the target; a slice has at most target_rows rows and those of its last second.
     """
-    narrow = df.select(*keys, ts)
-    hours = narrow.groupBy(*keys, Slicing(HOUR_US).column(ts).alias("_hour")).count()
-    days = hours.groupBy(*keys, F.expr(f"_hour div {DAY_US // HOUR_US}").alias("_day"))
-    days = days.agg(F.sum("count").alias("day"), F.max("count").alias("hour"))
-    vehicles = days.groupBy(*keys).agg(F.sum("day").alias("all"), F.max("day").alias("day"), F.max("hour").alias("hour"))
-    most = vehicles.agg(F.max("all"), F.max("day"), F.max("hour")).first()
-    for width, rows in zip((None, DAY_US, HOUR_US), most):
-        if rows is None or rows <= target_rows:
-            return Slicing(width)
-    for width in WIDTHS_US[2:]:
-        slicing = Slicing(width)
-        counts = narrow.groupBy(*keys, slicing.column(ts).alias(SLICE)).count()
-        biggest = counts.agg(F.max("count")).first()[0]
-        if biggest is None or biggest <= target_rows:
-            return slicing
-    return Slicing(WIDTHS_US[-1])
-
-
-def resolve_slicing(df: DataFrame, keys: list[str], ts: str, slicing: Slicing | None) -> Slicing:
+    day, second = (F.expr(f"unix_micros(cast({ts} as timestamp)) div {w}L") for w in (DAY_US, SECOND_US))
+    days = df.groupBy(*keys, day.alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
+    days = materialise(days)
+    busy = days.groupBy(*keys).agg(F.sum("_n").alias("_all")).filter(F.col("_all") > target_rows).select(*keys)
+    days = materialise(days.join(busy, keys, "left_semi"))
+    if days.isEmpty():
+        return WHOLE
+    dense = days.filter(F.col("_n") > target_rows).select(*keys, "_day")
+    seconds = df.select(*keys, day.alias("_day"), second.alias("_second")).join(dense, [*keys, "_day"], "left_semi")
+    seconds = seconds.groupBy(*keys, "_day", "_second").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys, "_day").orderBy("_second").rowsBetween(Window.unboundedPreceding, -1)
+    placed = seconds.withColumn("_piece", F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / target_rows))
+    inner = placed.groupBy(*keys, "_day", "_piece").agg((F.min("_second") * SECOND_US).alias("_cut"))
+    cuts = days.select(*keys, "_day", (F.col("_day") * DAY_US).alias("_cut")).unionByName(inner.select(*keys, "_day", "_cut"))
+    return KeySlicing(materialise(cuts.groupBy(*keys, "_day").agg(F.array_sort(F.collect_set("_cut")).alias("_cuts"))))
+
+
+def resolve_slicing(df: DataFrame, keys: list[str], ts: str, slicing: Slicing | KeySlicing | None) -> Slicing | KeySlicing:
     return choose_slicing(df, keys, ts) if slicing is None else slicing
 
 

@@ -8,6 +8,7 @@ from wayfold.functions.geo import haversine_m
 from wayfold.operators.ordered import (
     SLICE,
     Slicing,
+    carry_in,
     earlier_slices,
     fill_forward,
     inside_slice,
@@ -39,44 +40,32 @@ def mark_parked(positions: DataFrame, stops: DataFrame, slicing: Slicing) -> Dat
     """Add _slice and `parked`: the sample lies inside a stop's span, both ends included.
 
     Spans of one vehicle are disjoint, so the span that starts last is the only one that can hold a
-    sample. Each span is laid into every slice it touches and found by a running `last`, so there
-    is no range join and nothing to carry between slices.
+    sample. Each span is one row where it starts, found by a running `last`; a slice gets the last
+    span of the slices before it, however long that lasts.
     """
-    width = slicing.width_us
-    start = F.unix_micros("arrived_at")
-    end = F.unix_micros("departed_at")
     # Stated on both inputs, so that the branches of detect_trips share one shuffle.
     known = F.col("vehicle_id").isNotNull()
-    spans = stops.filter(known).select(*KEYS, start.alias("_start"), end.alias("_end"))
-    if slicing.whole:
-        pieces = spans.select("*", F.lit(0).cast("bigint").alias(SLICE), F.col("_start").alias("_us"))
-    else:
-        # An open span, one per vehicle at most, lasts until the vehicle's newest sample.
-        newest = positions.groupBy(*KEYS).agg(F.unix_micros(F.max("recorded_at")).alias("_until"))
-        opened = spans.filter("_end is null").join(newest, KEYS).filter("_until >= _start")
-        closed = spans.filter("_end is not null").withColumn("_until", F.col("_end"))
-        pieces = (
-            closed.unionByName(opened)
-            .withColumn(SLICE, F.explode(F.expr(f"sequence(_start div {width}L, _until div {width}L)")))
-            .withColumn("_us", F.greatest(F.col("_start"), F.col(SLICE) * width))
-            .drop("_until")
-        )
-    samples = positions.filter(known).select(
+    spans = stops.filter(known).select(
         *KEYS,
-        slicing.column("recorded_at").alias(SLICE),
-        F.unix_micros("recorded_at").alias("_us"),
-        "reading_id",
-        "lat",
-        "lon",
+        F.col("arrived_at").alias("_at"),
+        F.unix_micros("arrived_at").alias("_us"),
+        F.struct(F.unix_micros("arrived_at").alias("_start"), F.unix_micros("departed_at").alias("_end")).alias("_span"),
     )
-    both = samples.unionByName(pieces, allowMissingColumns=True)
+    samples = positions.filter(known).select(
+        *KEYS, F.col("recorded_at").cast("timestamp").alias("_at"), F.unix_micros("recorded_at").alias("_us"), "reading_id", "lat", "lon"
+    )
+    both = slicing.attach(samples.unionByName(spans, allowMissingColumns=True), KEYS, "_at")
     # At one instant a span's start precedes the samples taken then.
     order = ["_us", F.col("reading_id").asc_nulls_first()]
-    span = F.when(F.col("_start").isNotNull(), F.struct("_start", "_end"))
-    latest = F.last(span, ignorenulls=True).over(inside_slice(KEYS, order))
+    latest = F.last("_span", ignorenulls=True).over(inside_slice(KEYS, order))
+    if slicing.whole:
+        both = both.withColumn("_span", latest)
+    else:
+        last = F.max("_span").alias("_last")
+        carried = F.last("_last", ignorenulls=True).over(earlier_slices(KEYS)).alias("_before")
+        both = carry_in(both, KEYS, [last], [carried]).withColumn("_span", F.coalesce(latest, "_before"))
     return (
-        both.withColumn("_span", latest)
-        .filter("reading_id is not null")
+        both.filter("reading_id is not null")
         .withColumn("parked", F.col("_span").isNotNull() & F.coalesce(F.col("_us") <= F.col("_span._end"), F.lit(True)))
         .select(*KEYS, SLICE, "_us", "reading_id", "lat", "lon", "parked")
     )
