@@ -16,7 +16,8 @@ ORACLE = {name: sql for name, sql in contract.oracle_sql().items() if name in QU
 # The others are covered at a larger scale by the driver; CATALOG_ALL=1 runs them here too.
 CORE = (
     "trip_report stop_matches reconciliation_summary client_stop_table route_thinning active_days "
-    "position_pages client_stop_merge reading_validation sampling_backtest delivery_plan telemetry_batches"
+    "position_pages client_stop_merge reading_validation sampling_backtest delivery_plan telemetry_batches "
+    "cut_stop_detection cut_trip_detection contested_matches window_resolution ingest_streams"
 ).split()
 CHOSEN = sorted(QUERIES) if os.environ.get("CATALOG_ALL") else CORE
 

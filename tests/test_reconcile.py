@@ -84,6 +84,32 @@ def test_rounds_equal_the_sequential_rule(spark):
     assert pairs(greedy_match(df)) == want
 
 
+def test_components_reach_over_days(spark):
+    """A chain of pairs through midnights, and a pair that ends long after later ones began, are one component."""
+    day = 86_400_000_000
+    rows = [("v", f"c{k}", f"d{k}", k * day // 2, k * day // 2 + day // 2, 0, 0.0, 0.5) for k in range(6)]
+    rows += [("v", f"c{k + 1}", f"d{k}", (k + 1) * day // 2, k * day // 2 + day // 2, 0, 0.0, 0.1 * (k % 3)) for k in range(5)]
+    rows += [("v", "c0", "d9", 0, 9 * day, 0, 0.0, 0.3), ("v", "c8", "d9", 8 * day, 9 * day, 0, 0.0, 0.4), ("v", "c20", "d20", 20 * day, 20 * day, 0, 0.0, 0.9)]
+    df = spark.createDataFrame(
+        rows,
+        "vehicle_id string, client_event_id string, derived_event_id string, client_us bigint, "
+        "derived_us bigint, delta_seconds int, delta_meters double, score double",
+    )
+    taken, want = set(), set()
+    for _, c, d, c_us, d_us, _, _, score in sorted(rows, key=lambda r: (r[7], r[3], r[1], r[4], r[2])):
+        if c not in taken and d not in taken:
+            taken |= {c, d}
+            want.add((c, d))
+    assert pairs(greedy_match(df.repartition(4))) == want
+
+
+def test_contested_stops_lose_pairs(spark):
+    c = stops(spark, "client", [(60 * k, 10 * k) for k in range(8)])
+    d = stops(spark, "derived", [(60 * k + 20, 10 * k + 5) for k in range(8)])
+    candidates = match_candidates(c, d)
+    assert candidates.count() > greedy_match(candidates).count() == 8
+
+
 def test_summary_and_agreement(spark):
     c, d = stops(spark, "client", [(0, 0), (600, 0)]), stops(spark, "derived", [(20, 10), (2400, 0)])
     matches, table = reconcile(c, d), all_stops(c, d)

@@ -1,5 +1,6 @@
 """Every operator as a query over the given tables, for the driver contract and the bench."""
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import DataFrame
@@ -21,6 +22,7 @@ from wayfold.operators import (
     stops,
     trips,
 )
+from wayfold.operators.ordered import choose_slicing
 from wayfold.plans.derivation import run_derivation, run_summary
 from wayfold.plans.route_view import route_view
 from wayfold.session import ensure_checkpoint_dir, materialise
@@ -116,6 +118,54 @@ def arriving_trip(spark, d):
     return found.select("vehicle_id", us("arrived_at"), "trip_id")
 
 
+def cut(spark, d):
+    """Positions, and a slicing under which the busiest vehicles are cut and the others stay whole."""
+    p = fx.positions(spark, d)
+    most = p.groupBy("vehicle_id").count().agg(F.max("count")).first()[0] or 0
+    return p, choose_slicing(p, ["vehicle_id"], "recorded_at", max(1, most * 2 // 3))
+
+
+@query
+def cut_stop_detection(spark, d):
+    p, sized = cut(spark, d)
+    found = stops.detect_stops(p, slicing=sized)
+    return found.select("id", "vehicle_id", us("arrived_at"), us("departed_at"), "lat", "lon")
+
+
+@query
+def cut_trip_detection(spark, d):
+    p, sized = cut(spark, d)
+    found, _ = trips.detect(p, slicing=sized)
+    return found.select("id", "vehicle_id", us("started_at"), us("ended_at"), metres("distance_m"))
+
+
+@query
+def cut_parked_samples(spark, d):
+    p, sized = cut(spark, d)
+    marked = trips.mark_parked(p, materialise(stops.detect_stops(p, slicing=sized)), sized)
+    return marked.select("vehicle_id", "reading_id", "parked")
+
+
+@query
+def cut_client_detection(spark, d):
+    p, sized = cut(spark, d)
+    found = client_ops.detect_client_stops(p, slicing=sized)
+    return found.select("event_id", "vehicle_id", "kind", us("arrived_at"), us("departed_at"), "lat", "lon")
+
+
+@query
+def cut_sampling_backtest(spark, d):
+    p, sized = cut(spark, d)
+    found = policy.backtest_sampling(p, slicing=sized)
+    return found.select("vehicle_id", us("changed_at"), "tier")
+
+
+@query
+def cut_route_thinning(spark, d):
+    p, sized = cut(spark, d)
+    return route.thin(p, slicing=sized).select("vehicle_id", "reading_id", us("recorded_at"))
+
+
 @query
 def parked_samples(spark, d):
     p, sized = fx.positions(spark, d), fx.slicing(spark, d)
@@ -211,6 +261,14 @@ def stop_matches(spark, d):
     )
 
 
+@query
+def contested_matches(spark, d):
+    """Tolerances so wide that most stops could be matched with several others: only some of the pairs are taken."""
+    c, s = both(spark, d)
+    found = reconcile.reconcile(c, s, DetectConfig(match_max_seconds=1800.0, match_max_m=5000.0))
+    return found.select("vehicle_id", "client_event_id", "derived_event_id", big("delta_seconds"), metres("delta_meters"))
+
+
 @query
 def matches_in_window(spark, d):
     c, s = both(spark, d)
@@ -257,6 +315,19 @@ def both_sources(spark, d):
 # Reads
 
 
+@query
+def window_resolution(spark, d):
+    """What a read finds for bounds given as texts, one of them with another offset, or left out."""
+    p, now, parts = fx.positions(spark, d), dt.datetime.fromtimestamp(NOW / 1e6, dt.timezone.utc), None
+    asked = {"both": ("2024-01-01T00:30:00Z", "2024-01-01T02:30:00+01:00"), "from": ("2024-01-01T01:00:00Z", None), "none": (None, None)}
+    for name, (frm, to) in asked.items():
+        low, high = predicates.resolve_window(frm, to, now)
+        found = p.filter(predicates.in_window("recorded_at", low, high)).agg(F.count(F.lit(1)).alias("positions"), F.countDistinct("vehicle_id").alias("vehicles"))
+        found = found.select(F.lit(name).alias("asked"), "positions", "vehicles")
+        parts = found if parts is None else parts.unionByName(found)
+    return parts
+
+
 @query
 def derivation_scan(spark, d):
     found = reads.samples(fx.positions(spark, d), moment(FROM), moment(TO))
@@ -662,7 +733,7 @@ def ingest_streams(spark, d):
         source = wire.read_batches(spark, f"{root}/{folder}", streaming=True)
         ingest.start_ingest(source, target, f"{root}/{checkpoint}", {"availableNow": True}, moment(NOW)).awaitTermination()
     stored = spark.read.parquet(target.path("positions"))
-    return stored.groupBy("reading_id").agg(big(F.count(F.lit(1))).alias("times"), F.min(us("recorded_at")).alias("recorded_us"))
+    return stored.groupBy("reading_id").agg(F.count(F.lit(1)).alias("times"), F.min(F.unix_micros("recorded_at")).alias("recorded_us"))
 
 
 # Loads

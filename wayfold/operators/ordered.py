@@ -62,16 +62,17 @@ WHOLE = Slicing(None)
 def choose_slicing(df: DataFrame, keys: list[str], ts: str, target_rows: int = TARGET_ROWS) -> Slicing | KeySlicing:
     """Keys of more than target_rows rows cut into slices of about so many, the others whole.
 
-    One scan counts the days of each key. Only for days that hold too many rows themselves are seconds counted, and cut where
-    their running sum passes the target; a slice has at most target_rows rows and those of its last second.
+    One scan counts the rows of each key, and if one has too many, another the days of such keys. Only in days that hold
+    too many rows themselves are seconds counted, and cut where their running sum passes the target; a slice has at most
+    target_rows rows and those of its last second.
     """
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
+    if (sizes.agg(F.max("_all")).first()[0] or 0) <= target_rows:
+        return WHOLE
     day, second = (F.expr(f"unix_micros(cast({ts} as timestamp)) div {w}L") for w in (DAY_US, SECOND_US))
-    days = df.groupBy(*keys, day.alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
+    busy = sizes.filter(F.col("_all") > target_rows).select(*keys)
+    days = df.groupBy(*keys, day.alias("_day")).agg(F.count(F.lit(1)).alias("_n")).join(busy, keys, "left_semi")
     days = materialise(days)
-    busy = days.groupBy(*keys).agg(F.sum("_n").alias("_all")).filter(F.col("_all") > target_rows).select(*keys)
-    days = materialise(days.join(busy, keys, "left_semi"))
-    if days.isEmpty():
-        return WHOLE
     dense = days.filter(F.col("_n") > target_rows).select(*keys, "_day")
     seconds = df.select(*keys, day.alias("_day"), second.alias("_second")).join(dense, [*keys, "_day"], "left_semi")
     seconds = seconds.groupBy(*keys, "_day", "_second").agg(F.count(F.lit(1)).alias("_n"))

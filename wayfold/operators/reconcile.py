@@ -1,12 +1,14 @@
 """Pair device-reported stops with derived ones and measure how far they disagree."""
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.config import DetectConfig
 from wayfold.functions.geo import haversine_m
 from wayfold.functions.predicates import in_window
-from wayfold.session import materialise
+from wayfold.operators.ordered import DAY_US, SLICE, Slicing, carry_in, earlier_slices, fill_forward, inside_slice
+from wayfold.operators.stops import KEYS
 
 
 def match_candidates(
@@ -60,36 +62,40 @@ def match_candidates(
 def greedy_match(candidates: DataFrame) -> DataFrame:
     """One-to-one pairs taken in ascending (score, client order, derived order).
 
-    A pair that is the best of both its client and its derived stop would be taken by the
-    sequential rule as well. Each round takes all such pairs at once and drops what they block; the
-    best pair left always qualifies, so the rounds end. The minima combine map-side.
+    Pairs that share a stop overlap in time, so a stretch of a vehicle's time that no pair reaches over parts the pairs
+    into components that cannot compete. Each is settled by itself, best pair first, all in one pass: the number of passes
+    does not depend on the data. Where stretches end is found by day slices, so a busy vehicle is not one task's work.
     """
-    key = F.struct(
-        "score", "client_us", "client_event_id", "derived_us", "derived_event_id",
-        "vehicle_id", "delta_seconds", "delta_meters",
-    )
-    left = materialise(candidates.select("vehicle_id", key.alias("k")))
-    rounds = []
-    while not left.isEmpty():
-        best_c = left.groupBy("vehicle_id", F.col("k.client_event_id").alias("c")).agg(F.min("k").alias("kc"))
-        best_d = left.groupBy("vehicle_id", F.col("k.derived_event_id").alias("d")).agg(F.min("k").alias("kd"))
-        mutual = best_c.withColumn("d", F.col("kc.derived_event_id")).join(best_d, ["vehicle_id", "d"])
-        taken = materialise(
-            mutual.filter(F.col("kd.client_event_id") == F.col("c")).select("vehicle_id", "c", "d", "kc")
-        )
-        rounds.append(taken.select("kc.*"))
-        rest = left.withColumn("c", F.col("k.client_event_id")).withColumn("d", F.col("k.derived_event_id"))
-        rest = rest.join(taken.select("vehicle_id", "c"), ["vehicle_id", "c"], "left_anti")
-        rest = rest.join(taken.select("vehicle_id", "d"), ["vehicle_id", "d"], "left_anti")
-        left = materialise(rest.select("vehicle_id", "k"))
-    if not rounds:
-        rounds = [left.select("k.*")]
-    matched = rounds[0]
-    for more in rounds[1:]:
-        matched = matched.unionByName(more)
-    return matched.select(
-        "vehicle_id", "client_event_id", "derived_event_id", "delta_seconds", "delta_meters"
-    )
+    day, order = Slicing(DAY_US), ["_from", "_to", "client_event_id", "derived_event_id"]
+    pairs = candidates.withColumns({"_from": F.least("client_us", "derived_us"), "_to": F.greatest("client_us", "derived_us")})
+    pairs = pairs.withColumn("_at", F.timestamp_micros("_from"))
+    sliced = day.attach(pairs, KEYS, "_at")
+    earlier = F.max("_to").over(inside_slice(KEYS, order).rowsBetween(Window.unboundedPreceding, -1))
+    reached = F.max("_last").over(earlier_slices(KEYS)).alias("_before")
+    sliced = carry_in(sliced.withColumn("_earlier", earlier), KEYS, [F.max("_to").alias("_last")], [reached])
+    apart = F.coalesce(F.greatest("_earlier", "_before") < F.col("_from"), F.lit(True))
+    marked = sliced.withColumn("_opens", F.when(apart, F.col("_from"))).drop(SLICE, "_earlier", "_before")
+    grouped = fill_forward(marked, KEYS, "_at", order, "_opens", day, "_component")
+    rank = ["score", "client_us", "client_event_id", "derived_us", "derived_event_id"]
+    placed = grouped.repartition(*KEYS, "_component").sortWithinPartitions(*KEYS, "_component", *rank)
+    names = ["vehicle_id", "client_event_id", "derived_event_id", "delta_seconds", "delta_meters"]
+
+    def settle(batches):
+        held, taken = None, set()
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(4)]
+            keep = []
+            for row, (vehicle, component, client, derived) in enumerate(zip(*columns)):
+                if held != (vehicle, component):
+                    held, taken = (vehicle, component), set()
+                if ("c", client) not in taken and ("d", derived) not in taken:
+                    taken.update((("c", client), ("d", derived)))
+                    keep.append(row)
+            yield batch.select(names).take(pa.array(keep, pa.int64()))
+
+    rows = placed.select("vehicle_id", "_component", "client_event_id", "derived_event_id", "delta_seconds", "delta_meters")
+    kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
+    return rows.mapInArrow(settle, kinds)
 
 
 def reconcile(client: DataFrame, derived: DataFrame, cfg: DetectConfig = DetectConfig()) -> DataFrame:

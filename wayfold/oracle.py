@@ -89,15 +89,15 @@ cstops AS (SELECT event_id AS id, vehicle_id, arrived_us, max(departed_us) AS de
            FROM emitted GROUP BY ALL)"""
 
 
-def match_cte(name="matched", client="cstops", derived="dstops", metres=100):
+def match_cte(name="matched", client="cstops", derived="dstops", metres=100, seconds=120):
     """Greedy pairs: walk the candidates of a vehicle in order, carrying what is taken."""
     p = name
     return f"""
-{p}_c AS (SELECT * , abs(secs) / 120 + dm / {metres} AS score FROM (
+{p}_c AS (SELECT * , abs(secs) / {seconds} + dm / {metres} AS score FROM (
             SELECT c.vehicle_id, c.id AS cid, d.id AS did, c.arrived_us AS client_us, d.arrived_us AS derived_us,
               (c.arrived_us - d.arrived_us) / 1e6 AS secs, {hav('c.lat', 'c.lon', 'd.lat', 'd.lon')} AS dm
             FROM {client} c JOIN {derived} d ON c.vehicle_id = d.vehicle_id
-              AND abs(c.arrived_us - d.arrived_us) <= 120000000) WHERE dm <= {metres}),
+              AND abs(c.arrived_us - d.arrived_us) <= {seconds}000000) WHERE dm <= {metres}),
 {p}_r AS (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY score, client_us, cid, derived_us, did) AS k
           FROM {p}_c),
 {p}_w AS (SELECT DISTINCT vehicle_id, 0::BIGINT AS k, []::VARCHAR[] AS taken, false AS ok FROM {p}_r
@@ -286,6 +286,18 @@ ORACLE = {
         STOPS, CLIENT, MATCHED,
         "SELECT vehicle_id, client_event_id, derived_event_id, delta_seconds, round(dm, 3) AS delta_meters FROM matched",
     ),
+    "contested_matches": q(
+        STOPS, CLIENT, match_cte(metres=5000, seconds=1800),
+        "SELECT vehicle_id, client_event_id, derived_event_id, delta_seconds, round(dm, 3) AS delta_meters FROM matched",
+    ),
+    "window_resolution": q(
+        *[
+            f"{name} AS (SELECT '{name[2:]}' AS asked, count(*) AS positions, count(DISTINCT vehicle_id) AS vehicles FROM pos "
+            f"WHERE us >= {EPOCH_US} + {low} * {HOUR} // 2 AND us < {EPOCH_US} + {high} * {HOUR} // 2)"
+            for name, low, high in (("w_both", 1, 3), ("w_from", 2, 6), ("w_none", -42, 6))
+        ],
+        "SELECT * FROM w_both UNION ALL SELECT * FROM w_from UNION ALL SELECT * FROM w_none",
+    ),
     "matches_in_window": q(
         STOPS, CLIENT, MATCHED,
         f"SELECT client_event_id, derived_event_id, delta_seconds FROM matched WHERE client_us >= {FROM} AND client_us < {TO}",
@@ -517,3 +529,10 @@ tw AS (SELECT DISTINCT vehicle_id, 0::BIGINT AS k, 0::BIGINT AS us, 'active' AS
     "queue_dropped": q(QUEUE, "SELECT device_id, greatest(count(*) - 40, 0) AS dropped FROM que GROUP BY 1"),
     "dead_items": q(QUEUE, "SELECT device_id, row_number() OVER (PARTITION BY device_id ORDER BY n % 1000 DESC, id) AS position, id FROM que QUALIFY position <= 5"),
 }
+
+# The same answers when the busiest vehicles are cut into slices.
+for _cut, _whole in {
+    "cut_stop_detection": "stop_detection", "cut_trip_detection": "trip_detection", "cut_parked_samples": "parked_samples",
+    "cut_client_detection": "client_stop_detection", "cut_sampling_backtest": "sampling_backtest", "cut_route_thinning": "route_thinning",
+}.items():
+    ORACLE[_cut] = ORACLE[_whole]
