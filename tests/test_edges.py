@@ -13,10 +13,10 @@ from wayfold.operators.client import detect_client_stops, stops_from_emissions
 from wayfold.operators.load import replace_derived, replace_matches
 from wayfold.operators.ordered import WHOLE
 from wayfold.operators.reads import active_days, first_n
-from wayfold.plans.derivation import Derivation, _shaped, run_derivation, store_run
+from wayfold.plans.derivation import Derivation, _shaped, add_client_stops, read_stored, run_derivation, store_run
 from wayfold.session import materialise
 from wayfold.sources import batches as wire
-from wayfold.sources import idindex, tables
+from wayfold.sources import idindex, snapshots, tables
 from wayfold.streaming import ingest
 
 UTC = dt.timezone.utc
@@ -185,11 +185,11 @@ def test_stored_runs_replace_their_window(spark, tmp_path):
     p = track(spark, samples)
     client = stops_from_emissions(detect_client_stops(p, slicing=WHOLE)).withColumn("source", F.lit("client"))
     root, whole = f"{tmp_path}/t", (F.lit(at(-60)), F.lit(at(3 * day)), F.lit(at(4 * day)))
-    tables.replace_rows(spark, f"{root}/stop_events", schema.STOP_EVENTS, "id", "arrived_at", client.limit(0).select("id"), _shaped(client, schema.STOP_EVENTS))
+    add_client_stops(client, root)
     store_run(run_derivation(p, client, *whole), root, *whole)
 
     def stored(name):
-        rows = spark.read.parquet(f"{root}/{name}")
+        rows = read_stored(spark, root, name)
         return sorted(tuple(r) for r in rows.select(*[c for c in rows.columns if c.endswith("id") or c.endswith("ed_at") and c != "matched_at"]).collect())
 
     names = ("trips", "stop_events", "matches")
@@ -202,20 +202,46 @@ def test_stored_runs_replace_their_window(spark, tmp_path):
     # One day anew: the same as replacing in snapshots, and the folders of other days keep their files.
     second = (F.lit(at(2 * day - 60)), F.lit(at(3 * day - 60)), F.lit(at(5 * day)))
     run = run_derivation(p, client, *second)
-    snapshots = [materialise(tables.read_dated(spark, f"{root}/{n}", ddl).drop(tables.DATE)) for n, ddl in (("trips", schema.TRIPS), ("stop_events", schema.STOP_EVENTS))]
+    whole_tables = [materialise(read_stored(spark, root, n)) for n in names[:2]]
     shaped = [_shaped(x, ddl).withColumn("source", F.lit("derived")) for x, ddl in ((run.trips, schema.TRIPS), (run.stops, schema.STOP_EVENTS))]
-    expected = replace_derived(*snapshots, *shaped, *second, vehicles=run.vehicles)
-    files = {f for f in (tmp_path / "t/stop_events").rglob("part-*")}
+    expected = replace_derived(*whole_tables, *shaped, *second, vehicles=run.vehicles)
+    before = snapshots.latest(spark, root)
     store_run(run, root, *second)
     for name, rows in zip(names, expected):
         assert len(stored(name)) == rows.count() and {r[0] for r in stored(name)} == {r.id for r in rows.collect()}
-    kept = files & {f for f in (tmp_path / "t/stop_events").rglob("part-*")}
-    assert kept and kept != files
+    after = snapshots.latest(spark, root)
+    kept = [d for d, held in after.tables["stop_events"].items() if held == before.tables["stop_events"][d]]
+    assert 0 < len(kept) < 3
+    # A window reads the dates whose rows may touch it, the open stop's date among them, and no others.
+    window = (F.lit(at(0)), F.lit(at(3600)))
+    files = read_stored(spark, root, "stop_events", *window).inputFiles()
+    assert files and all("date=2026-09-01" in f for f in files)
 
     # A day without any sample left loses its derived rows.
     gone = run_derivation(p.filter("false"), client, *second)
     store_run(Derivation(p.select("vehicle_id").distinct(), gone.trips, gone.stops, gone.client_stops, gone.matches), root, *second)
     assert len(stored("stop_events")) < len(first["stop_events"]) and len(stored("matches")) < 3
+    snapshots.vacuum(spark, root, keep=1)
+    assert len(stored("stop_events")) < len(first["stop_events"])
+
+
+def test_a_run_that_fails_between_writes_changes_nothing(spark, tmp_path, monkeypatch):
+    p = track(spark, [(30 * i, 0 if i > 5 else i * 300) for i in range(20)])
+    client = stops_from_emissions(detect_client_stops(p, slicing=WHOLE))
+    root, window = f"{tmp_path}/t", (F.lit(at(-60)), F.lit(at(3600)), F.lit(at(7200)))
+    add_client_stops(client, root)
+    run = run_derivation(p, client, *window)
+    state = snapshots.latest(spark, root)
+    monkeypatch.setattr(snapshots, "_publish", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        store_run(run, root, *window)
+    assert snapshots.latest(spark, root) == state and read_stored(spark, root, "trips").count() == 0
+    monkeypatch.undo()
+    store_run(run, root, *window)
+    assert read_stored(spark, root, "trips").count() == 1 and read_stored(spark, root, "matches").count() == 1
+    # Who derived from an older state is told so.
+    with pytest.raises(snapshots.Conflict):
+        snapshots.commit(spark, state, {})
 
 
 def test_compaction_keeps_every_row(spark, tmp_path):

@@ -61,32 +61,6 @@ def read_positions(spark: SparkSession, path: str, frm=None, to=None) -> DataFra
     return rows.drop(DATE)
 
 
-def read_dated(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    """A table stored in folders by date, the date in DATE; empty when nothing has been written yet."""
-    return read_table(spark, path, f"{ddl}, {DATE} date")
-
-
-def replace_rows(
-    spark: SparkSession, path: str, ddl: str, key: str, start: str, gone: DataFrame, new: DataFrame
-) -> None:
-    """In a table stored by the UTC date of `start`, drop the rows whose key is in gone and add new ones.
-
-    Only the folders of the dates concerned are read and written again; the others keep their files.
-    """
-    table = read_dated(spark, path, ddl)
-    gone = materialise(gone.select(key).distinct())
-    new = materialise(new.withColumn(DATE, utc_date(start)).select(*table.columns))
-    old_dates = table.select(key, DATE).join(gone, key, "left_semi").select(DATE)
-    # As many dates as the replaced window touches.
-    dates = [r[0] for r in old_dates.union(new.select(DATE)).distinct().collect()]
-    kept = table.filter(F.col(DATE).isin(dates)).join(gone, key, "left_anti").select(*table.columns)
-    after = materialise(kept.unionByName(new))
-    left = {r[0] for r in after.select(DATE).distinct().collect()}
-    after.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DATE).parquet(path)
-    for date in set(dates) - left:
-        remove(spark, f"{path}/{DATE}={date}")
-
-
 def exists(spark: SparkSession, path: str) -> bool:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
