@@ -23,7 +23,8 @@ from wayfold.operators import (
     trips,
 )
 from wayfold.operators.ordered import choose_slicing
-from wayfold.plans.derivation import run_derivation, run_summary
+from wayfold.plans.derivation import add_client_stops, read_stored, run_derivation, run_summary, store_run
+from wayfold.plans.dirty import dirty_ranges, rederive
 from wayfold.plans.route_view import route_view
 from wayfold.session import ensure_checkpoint_dir, materialise
 from wayfold.sources import batches as wire
@@ -239,6 +240,35 @@ def windowed_derivation(spark, d):
     )])
 
 
+@query
+def late_rows(spark, d):
+    """Trips after late rows, derived again only around these; the last 50 of every 500 rows of a vehicle come late."""
+    p, sized = fx.positions(spark, d), fx.slicing(spark, d)
+    late = F.unix_micros("received_at") - F.unix_micros("recorded_at") > HOUR
+    last = F.when(late, F.lit(2)).otherwise(F.lit(1))
+    p = materialise(p.withColumn("received_at", F.timestamp_micros(last * F.lit(HOUR))))
+    before = [materialise(x) for x in trips.detect(p.filter(F.unix_micros("received_at") == HOUR), slicing=sized)]
+    found, _ = rederive(p, *before, dirty_ranges(p, moment(2 * HOUR), slicing=sized), slicing=sized)
+    return found.select("id", "vehicle_id", us("started_at"), us("ended_at"), metres("distance_m"))
+
+
+@query
+def stored_run(spark, d):
+    """A run kept in tables, derived and kept a second time, and read back: (table, id, other), matches by both their stops."""
+    root, window = f"{ensure_checkpoint_dir(spark)}/stored-{uuid.uuid4()}", (moment(FROM), moment(TO), moment(NOW))
+    p, reported = fx.positions(spark, d), materialise(client_stops(spark, d))
+    add_client_stops(reported, root)
+    run = run_derivation(p, reported, *window, slicing=fx.slicing(spark, d))
+    for _ in range(2):
+        store_run(run, root, *window)
+    parts = {"trips": ("id", "vehicle_id"), "stop_events": ("id", "source"), "matches": ("client_event_id", "derived_event_id")}
+    found = [
+        read_stored(spark, root, name).select(F.lit(name).alias("kept_in"), F.col(a).alias("id"), F.col(b).alias("other"))
+        for name, (a, b) in parts.items()
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 # Reconciliation
 
 

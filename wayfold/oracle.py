@@ -277,6 +277,14 @@ ORACLE = {
         "(SELECT count(*) FROM matched) AS matched, (SELECT count(*) FROM creps) - (SELECT count(*) FROM matched) AS client_only, "
         "(SELECT count(*) FROM dstops) - (SELECT count(*) FROM matched) AS derived_only",
     ),
+    "stored_run": q(
+        stops_cte("dstops", "pos", 120, WINDOW), TRIPS, CLIENT,
+        f"creps AS (SELECT * FROM cstops WHERE {overlap('arrived_us', 'departed_us')} "
+        f"AND vehicle_id IN (SELECT vehicle_id FROM pos WHERE {WINDOW}))",
+        match_cte("matched", "creps", "dstops"),
+        "SELECT 'trips' AS kept_in, id, vehicle_id AS other FROM dtrips UNION ALL SELECT 'stop_events', id, 'derived' FROM dstops "
+        "UNION ALL SELECT 'stop_events', id, 'client' FROM cstops UNION ALL SELECT 'matches', client_event_id, derived_event_id FROM matched",
+    ),
     "match_candidates": q(
         STOPS, CLIENT, MATCHED,
         "SELECT vehicle_id, client_us, derived_us, CAST(round(secs) AS BIGINT) AS delta_seconds, round(dm, 3) AS delta_meters, "
@@ -530,9 +538,10 @@ tw AS (SELECT DISTINCT vehicle_id, 0::BIGINT AS k, 0::BIGINT AS us, 'active' AS
     "dead_items": q(QUEUE, "SELECT device_id, row_number() OVER (PARTITION BY device_id ORDER BY n % 1000 DESC, id) AS position, id FROM que QUALIFY position <= 5"),
 }
 
-# The same answers when the busiest vehicles are cut into slices.
+# The same answers when the busiest vehicles are cut into slices, and when rows come late.
 for _cut, _whole in {
     "cut_stop_detection": "stop_detection", "cut_trip_detection": "trip_detection", "cut_parked_samples": "parked_samples",
     "cut_client_detection": "client_stop_detection", "cut_sampling_backtest": "sampling_backtest", "cut_route_thinning": "route_thinning",
+    "late_rows": "trip_detection",
 }.items():
     ORACLE[_cut] = ORACLE[_whole]
