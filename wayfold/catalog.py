@@ -887,6 +887,27 @@ def local_retention(spark, d):
     )
 
 
+@query
+def broken_references(spark, d):
+    """The rules that constraint_report's rows keep: references to rows that are not there, and a stop's place and source."""
+    t, s = (materialise(found) for found in detected(spark, d))
+    t = t.withColumn("vehicle_id", F.when(F.unix_micros("started_at") % 5 == 0, "ghost").otherwise(F.col("vehicle_id")))
+    case = F.unix_micros("arrived_at") % 10
+    broken = {
+        "vehicle_id": F.when(case == 0, "ghost").otherwise(F.col("vehicle_id")),
+        "trip_id": F.when(case == 1, "none").otherwise(F.col("trip_id")),
+        "lat": F.when(case == 2, 91.0).otherwise(F.col("lat")),
+        "lon": F.when(case == 3, -200.0).otherwise(F.col("lon")),
+        "source": F.when(case == 4, "guess").otherwise(F.col("source")),
+    }
+    lost = F.concat(F.lit("none-"), "id")
+    matches = s.filter(case.isin(5, 6)).select(
+        F.when(case == 5, lost).otherwise(F.col("id")).alias("client_event_id"), F.when(case == 6, lost).otherwise(F.col("id")).alias("derived_event_id")
+    )
+    found = quality.constraint_violations(fx.positions(spark, d), t, s.withColumns(broken), matches, vehicles(spark, d))
+    return found.groupBy("table", "rule").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query
 def constraint_report(spark, d):
     t, s = (materialise(found) for found in detected(spark, d))

@@ -499,6 +499,15 @@ UNION ALL SELECT 'stop', vehicle_id, 'derived', arrived_us, departed_us FROM nst
   UNION ALL SELECT 'trips', unnest([CASE WHEN odd = 1 THEN 'source' END, CASE WHEN odd = 2 THEN 'ended_after_started' END, CASE WHEN odd = 3 THEN 'distance_non_negative' END]) FROM t
   UNION ALL SELECT 'stop_events', 'departed_after_arrived' FROM alls WHERE arrived_us % 10 = 1
   UNION ALL SELECT 'stop_event_matches', 'distinct_events' FROM cstops) WHERE rule IS NOT NULL GROUP BY ALL""",
+    ),
+    "broken_references": q(
+        STOPS, TRIPS,
+        """SELECT "table", rule, count(*) AS rows FROM (
+  SELECT 'trips' AS "table", 'vehicle_exists' AS rule FROM dtrips WHERE started_us % 5 = 0
+  UNION ALL SELECT 'stop_events', CASE arrived_us % 10 WHEN 0 THEN 'vehicle_exists' WHEN 1 THEN 'trip_exists' WHEN 2 THEN 'lat_range'
+    WHEN 3 THEN 'lon_range' WHEN 4 THEN 'source' END FROM dstops WHERE arrived_us % 10 < 5
+  UNION ALL SELECT 'stop_event_matches', CASE arrived_us % 10 WHEN 5 THEN 'client_exists' ELSE 'derived_exists' END
+    FROM dstops WHERE arrived_us % 10 IN (5, 6)) GROUP BY ALL""",
     ),
     "open_trip_check": q(STOPS, TRIPS, "SELECT vehicle_id, 'derived' AS source, count(*) AS open_trips FROM dtrips WHERE started_us % 4 = 0 GROUP BY 1 HAVING count(*) > 1"),
     "sampling_backtest": q(
