@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -81,3 +82,77 @@ def test_templates_block_what_their_labels_say(spark):
     assert {found[100 + k].verdict for k in range(60)} == {"allow"}
     assert {found[200 + k].template for k in range(20)} == {"/*/a"}
     assert urlfilter.judge_urls(pages.limit(0), rules).collect() == []
+
+
+def plain_templates(rows):
+    """Templates of (host, shapes, blocked) by nested loops over a dictionary of paths: {(host, shapes): (template, rejected)}."""
+    paths = {}
+    for host, shapes, blocked in rows:
+        n, labels, bad = paths.get((host, shapes), (0, 0, 0))
+        paths[host, shapes] = n + 1, labels + (blocked is not None), bad + (blocked or 0)
+    steps = {key: list(key[1]) for key in paths}
+    for level in range(max((len(s) for s in steps.values()), default=0)):
+        branches = {}
+        for key, now in steps.items():
+            if len(now) > level:
+                branches.setdefault((key[0], *now[:level]), []).append(key)
+        for keys in branches.values():
+            kinds = len({steps[k][level] for k in keys})
+            if kinds >= urlfilter.MANY and sum(paths[k][0] for k in keys) < urlfilter.FEW_PAGES * kinds:
+                for k in keys:
+                    steps[k][level] = "*"
+
+    def total(keys):
+        return tuple(map(sum, zip(*(paths[k] for k in keys))))
+
+    def near(part, whole, all_part, all_whole):
+        share = all_part / max(all_whole, 1)
+        return whole == 0 or abs(part / whole - share) <= urlfilter.ALIKE * (share * (1 - share) / whole) ** 0.5 + 0.02
+
+    for level in reversed(range(max((len(s) for s in steps.values()), default=0))):
+        templates, families = {}, {}
+        for key, now in steps.items():
+            templates.setdefault((key[0], tuple(now)), []).append(key)
+        for host, now in templates:
+            if len(now) > level:
+                families.setdefault((host, now[:level], now[level + 1 :]), []).append((host, now))
+        for family in families.values():
+            all_n, all_labels, all_bad = total([k for t in family for k in templates[t]])
+            for t in family if len(family) > 1 else []:
+                n, labels, bad = total(templates[t])
+                if near(labels, n, all_labels, all_n) and near(bad, labels, all_bad, all_labels):
+                    for k in templates[t]:
+                        steps[k][level] = "*"
+    templates = {}
+    for key, now in steps.items():
+        templates.setdefault((key[0], tuple(now)), []).append(key)
+    _, all_labels, all_bad = total(paths) if paths else (0, 0, 0)
+    share, out = all_bad / max(all_labels, 1), {}
+    for (_, now), keys in templates.items():
+        _, labels, bad = total(keys)
+        for k in keys:
+            out[k] = "".join(f"/{x}" for x in now), (bad + urlfilter.PRIOR * share) / (labels + urlfilter.PRIOR) >= urlfilter.REJECT
+    return out
+
+
+def test_deep_branches_are_told_apart(spark):
+    """Pages that differ only below many common segments: those of the bad branch that no rule names are blocked."""
+    rows = [(k, f"http://h.x/a/b/c/d/{'bad' if k < 40 else 'good'}/{k}-", None) for k in range(80)]
+    rules = [("block" if k < 40 else "allow", "h.x", f"/a/b/c/d/{'bad' if k < 40 else 'good'}/{k}-") for k in [*range(35), *range(40, 75)]]
+    found = {r.page_id: r for r in urlfilter.judge_urls(spark.createDataFrame(rows, PAGE), rules).collect()}
+    assert {found[k].verdict for k in range(40)} == {"block"} and {found[k].verdict for k in range(40, 80)} == {"allow"}
+    assert {found[k].template for k in range(40)} == {"/a/b/c/d/bad/{n}-"}
+
+
+def test_tree_equals_nested_loops(spark):
+    rng = random.Random(12)
+    rows = []
+    for _ in range(900):
+        host, depth = rng.choice(["a.x", "a.x", "b.y"]), rng.choice([0, 1, 2, 3, 3, 6])
+        shapes = tuple(rng.choice(["p", "q", "r", f"v{rng.randrange(40)}" if level == 1 else "s"]) for level in range(depth))
+        blocked = None if rng.random() < 0.4 else int("q" in shapes) if rng.random() < 0.95 else rng.randrange(2)
+        rows.append((host, shapes, blocked))
+    table = spark.createDataFrame([(h, list(s), b) for h, s, b in rows], "host string, shapes array<string>, blocked int")
+    found = {(r.host, tuple(r.shapes)): (r.template, r.rejected) for r in urlfilter.template_verdicts(table).collect()}
+    assert found == plain_templates(rows)
+    assert len({t for t, _ in found.values()}) < len(found) and any(bad for _, bad in found.values())

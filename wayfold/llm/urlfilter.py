@@ -1,9 +1,9 @@
 """URL verdicts from a tree of path templates for each host.
 
-Path segments become shapes, positions at which a host has very many different segments become wildcards, and sibling
-branches that look alike in what stands below them and in their labels become one. A template is rejected if the smoothed
-share of blocked pages among its labelled ones is high. Rules label the pages they fit, and decide these themselves.
-Everything here is DataFrame operations.
+Path segments become shapes, positions at which a branch has very many different segments become wildcards, and siblings
+that look alike in what stands below them and in their labels become one, level by level from the leaves up. A template is
+rejected if the smoothed share of blocked pages among its labelled ones is high. Rules label the pages they fit, and decide
+these themselves. Everything here is DataFrame operations; paths may be of any depth.
 """
 
 from __future__ import annotations
@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.store import written
 
-#: Segments of a path that the tree tells apart; what lies deeper is one wildcard.
-DEPTH = 4
 #: A position is a wildcard if it has so many different segments and fewer pages than this for each of them.
 MANY, FEW_PAGES = 12, 4
 #: Weight of the overall share of blocked pages in a template's share, and the share from which it is rejected.
@@ -59,9 +57,7 @@ def shape(segment: Column) -> Column:
 
 
 def _shapes(path: Column) -> Column:
-    segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    short = F.transform(F.slice(segments, 1, DEPTH), shape)
-    return F.when(F.size(segments) > DEPTH, F.concat(short, F.array(F.lit("**")))).otherwise(short)
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), shape)
 
 
 def _near(part: str, whole: str, all_part: str, all_whole: str) -> Column:
@@ -71,31 +67,48 @@ def _near(part: str, whole: str, all_part: str, all_whole: str) -> Column:
     return (F.col(whole) == 0) | (F.abs(F.col(part) / F.greatest(F.col(whole), F.lit(1)) - share) <= ALIKE * deviation + 0.02)
 
 
+def _with_wildcard(steps: str, level: int) -> Column:
+    return F.transform(steps, lambda x, at: F.when(at == level, F.lit("*")).otherwise(x))
+
+
+def _levels(paths: DataFrame, steps: str, kinds: int) -> list[int]:
+    """Levels at which some host has at least so many different segments: no more than its longest path that others share."""
+    each = paths.select("host", F.posexplode(steps).alias("level", "segment")).distinct()
+    found = each.groupBy("host", "level").count().where(F.col("count") >= kinds).select("level").distinct()
+    return sorted(r["level"] for r in found.collect())
+
+
 def template_verdicts(labelled: DataFrame) -> DataFrame:
     """(host, shapes, template, purity, rejected) from rows (host, shapes, blocked: 1, 0 or null for unlabelled).
 
     Rows are counted by host and shapes first, so that a host with very many pages weighs no more than its templates.
     """
     counts = [F.count("*").alias("n"), F.count("blocked").alias("labels"), F.coalesce(F.sum("blocked"), F.lit(0)).cast("long").alias("bad")]
-    paths = written(labelled.groupBy("host", "shapes").agg(*counts), "paths").withColumn("template", F.lit(""))
-    for depth in range(DEPTH):
-        segment = F.get("shapes", F.lit(depth))
-        at = paths.where(segment.isNotNull()).groupBy("host", "template")
+    paths = written(labelled.groupBy("host", "shapes").agg(*counts), "paths").withColumn("steps", F.col("shapes"))
+    # Only at levels where some host has so many different segments can a position be a wildcard.
+    for level in _levels(paths, "steps", MANY):
+        segment, branch = F.get("steps", F.lit(level)), F.slice("steps", 1, level)
+        at = paths.where(segment.isNotNull()).groupBy("host", branch.alias("branch"))
         stats = at.agg(F.approx_count_distinct(segment).alias("kinds"), F.sum("n").alias("pages"))
-        wild = written(stats.where((F.col("kinds") >= MANY) & (F.col("pages") < FEW_PAGES * F.col("kinds"))).select("host", "template", F.lit(True).alias("wild")), "wild")
-        paths = paths.join(wild, ["host", "template"], "left")
-        step = F.concat("template", F.lit("/"), F.when(F.col("wild"), F.lit("*")).otherwise(segment))
-        paths = paths.withColumn("template", F.when(segment.isNull(), F.col("template")).otherwise(step)).drop("wild")
-    paths = written(paths.withColumn("template", F.when(F.size("shapes") > DEPTH, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))), "templates")
-    # Branches: what the first segment is, and what stands below it. Siblings have the same below.
+        wild = written(stats.where((F.col("kinds") >= MANY) & (F.col("pages") < FEW_PAGES * F.col("kinds"))).select("host", "branch", F.lit(True).alias("wild")), "wild")
+        paths = paths.withColumn("branch", branch).join(wild, ["host", "branch"], "left")
+        paths = written(paths.withColumn("steps", F.when(F.col("wild"), _with_wildcard("steps", level)).otherwise(F.col("steps"))).drop("wild", "branch"), "paths")
+    # Siblings differ at one level only; what is merged below makes branches above more alike.
     sums = [F.sum(c).alias(c) for c in ("n", "labels", "bad")]
-    below = F.regexp_replace("template", r"^/[^/]*", "")
-    branches = paths.groupBy("host", "template").agg(*sums).withColumn("below", below)
-    siblings = written(branches.groupBy("host", "below").agg(F.count("*").alias("siblings"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "labels", "bad")]), "siblings")
-    alike = _near("labels", "n", "all_labels", "all_n") & _near("bad", "labels", "all_bad", "all_labels") & (F.col("template") != "") & (F.col("siblings") > 1)
-    branches = written(branches.join(siblings, ["host", "below"]), "branches")
-    merged = F.when(alike, F.concat(F.lit("/*"), "below")).otherwise(F.col("template"))
-    branches = branches.select("host", "template", merged.alias("merged"), "n", "labels", "bad")
+    branches = written(paths.groupBy("host", "steps").agg(*sums).withColumn("merged", F.col("steps")), "branches")
+    for level in reversed(_levels(branches, "merged", 2)):
+        one = branches.where(F.get("merged", F.lit(level)).isNotNull()).groupBy("host", "merged").agg(*sums)
+        one = one.withColumns({"above": F.slice("merged", 1, level), "below": F.expr(f"slice(merged, {level + 2}, size(merged))")})
+        family = one.groupBy("host", "above", "below").agg(F.count("*").alias("siblings"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "labels", "bad")])
+        family = written(family.where("siblings > 1"), "siblings")
+        alike = _near("labels", "n", "all_labels", "all_n") & _near("bad", "labels", "all_bad", "all_labels")
+        joined = one.join(family, ["host", "above", "below"]).where(alike)
+        joined = written(joined.select("host", "merged", F.lit(True).alias("alike")), "alike")
+        branches = branches.join(joined, ["host", "merged"], "left")
+        branches = written(branches.withColumn("merged", F.when(F.col("alike"), _with_wildcard("merged", level)).otherwise(F.col("merged"))).drop("alike"), "branches")
+    name = lambda steps: F.when(F.size(steps) > 0, F.concat(F.lit("/"), F.array_join(steps, "/"))).otherwise("")
+    branches = branches.withColumns({"template": name("steps"), "merged": name("merged")}).drop("steps")
+    paths = paths.withColumn("template", name("steps"))
     overall = branches.agg((F.sum("bad") / F.greatest(F.sum("labels"), F.lit(1))).alias("share")).first()["share"] or 0.0
     purity = (F.col("bad") + PRIOR * overall) / (F.col("labels") + PRIOR)
     judged = branches.groupBy("host", "merged").agg(*sums).withColumn("purity", purity)
