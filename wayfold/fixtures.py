@@ -67,7 +67,7 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def slicing(spark: SparkSession, sf_dir: str) -> Slicing:
-    """Slicing of the derived positions, measured once per folder."""
+    """Slicing of the derived positions, measured on every call."""
     raw = events(spark, sf_dir)
     compressed = F.timestamp_micros(
         F.lit(EPOCH_US) + F.expr(f"(unix_micros(cast(ts as timestamp)) - {EPOCH_US}L) div 300")
