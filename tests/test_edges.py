@@ -132,8 +132,11 @@ def test_id_index(spark, tmp_path, monkeypatch):
     assert [(b, n) for _, b, n in index.runs()] == [(32, 930)]
     assert sorted(r.id for r in index.known(ids(asked)).collect()) == expected
     # Of the many buckets only those of the ids that are there are read.
-    plan = index.known(ids([5]))
-    assert len(plan.inputFiles()) <= 3 < 32
+    read, real = [], index.stored
+    index.stored = lambda parts: read.append(parts) or real(parts)
+    plan = index.known(ids([5]))._jdf.queryExecution().executedPlan().toString()
+    assert len(read[0]) <= 3 < 32
+    assert "PartitionFilters: [" in plan and "part#" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
 @pytest.mark.parametrize("time", ["2026-09-01T09:00:00", "2026-09-01", "2026", "2026-13-01T00:00:00Z", "noon"])

@@ -8,6 +8,7 @@ from conftest import at
 from wayfold import schema
 from wayfold.functions import geo, mapping, predicates, validation
 
+# Reasons, labels, thresholds and edges in this file are what the results must be.
 NAN = float("nan")
 INF = float("inf")
 
