@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -68,9 +69,11 @@ def test_prefix_table_appends_and_edits(ranks, library):
     assert long.replace(20, 21, b"xx") < 600
 
 
-@pytest.mark.parametrize("chunk", [512, 7])
-def test_counts_equal_the_library(chunk, monkeypatch):
+@pytest.mark.parametrize(("chunk", "states"), [(512, 1 << 19), (7, 1 << 19), (2, 1 << 19), (1, 100)])
+def test_counts_equal_the_library(chunk, states, monkeypatch):
     monkeypatch.setattr(tokencount, "CHUNK", chunk)
+    monkeypatch.setattr(tokencount, "STATES", states)
+    sys._wayfold_once = {}
     vocabulary, library = tokencount.compile_file(spec("word_bpe_49k.json")), Tokenizer.from_str(spec("word_bpe_49k.json"))
     given = texts()
     found = []
@@ -79,10 +82,28 @@ def test_counts_equal_the_library(chunk, monkeypatch):
     assert found == [len(e.ids) for e in library.encode_batch([t or "" for t in given], add_special_tokens=False)]
 
 
+def test_chunk_maps_compose_in_any_order():
+    vocabulary = tokencount.compile_file(spec("word_bpe_49k.json"))
+    lower = tokencount.Transducer(vocabulary)
+    data = np.frombuffer("it're we'll they'restive 12３ ab　c 'l 's ".encode() * 3, np.uint8)
+    kinds = tokencount.byte_kinds(data)
+    symbols, blank = tokencount.inputs(data, kinds), kinds == tokencount.SPACE
+    words = lambda a, b: lower.words(data, a, b)
+    rng = random.Random(2)
+    for _ in range(30):
+        cuts = np.array([0, *sorted(rng.sample(range(1, len(data)), 3)), len(data)])
+        a, b, c, d = (tokencount.chunk_maps(symbols, blank, cuts[:-1], cuts[1:], words).rows([k]) for k in range(4))
+        join = lambda x, y: tokencount.compose(x, y, words)
+        whole = tokencount.chunk_maps(symbols, blank, cuts[:1], cuts[-1:], words)
+        for total in (join(join(join(a, b), c), d), join(a, join(b, join(c, d))), join(join(a, b), join(c, d))):
+            assert [x[0, tokencount.FREE] for x in total] == [x[0, tokencount.FREE] for x in whole]
+
+
 def test_count_columns(spark):
     docs = spark.createDataFrame([(None, None, 1), (1, "é " * 3000, 2), (1, "Hello", 3)], "doc_id long, text string, n_tokens long")
-    rows = tokencount.count_tokens(docs.drop("n_tokens"), spec("word_bpe_49k.json"), keep=["doc_id"]).collect()
-    assert sorted((r.n_bytes, r.n_tokens, r.over_limit) for r in rows) == [(0, 0, False), (5, 1, False), (9000, 3000, True)]
+    rows = tokencount.count_tokens(docs, spec("word_bpe_49k.json"), keep=["doc_id", "n_tokens"]).withColumnRenamed("n_tokens", "own").collect()
+    assert sorted(r.own for r in rows) == [1, 2, 3]
+    assert sorted((r.n_bytes, r.n_tokens_, r.over_limit) for r in rows) == [(0, 0, False), (5, 1, False), (9000, 3000, True)]
 
 
 def test_token_files(spark, documents, tmp_path):
