@@ -28,6 +28,7 @@ from wayfold.plans.dirty import dirty_ranges, rederive
 from wayfold.plans.route_view import route_view
 from wayfold.session import ensure_checkpoint_dir, materialise
 from wayfold.sources import batches as wire
+from wayfold.sources import stoplog
 from wayfold.streaming import ingest
 from wayfold.streaming import stops as stream_stops
 
@@ -834,6 +835,21 @@ def client_stop_log(spark, d):
     return found.select("vehicle_id", us("arrived_at"), us("departed_at"), F.round("lat", 6).alias("lat"))
 
 
+@query
+def client_stop_state(spark, d):
+    """The same from stored loads that arrive out of order: two of three are compacted one after the other, the third is laid over."""
+    root = f"{ensure_checkpoint_dir(spark)}/stops-{uuid.uuid4()}"
+    log, state = f"{root}/log", f"{root}/state"
+    reports = materialise(stop_reports(spark, d))
+    for third in (1, 2, 0):
+        part = reports.filter(F.col("batch_seq") % 3 == third)
+        part.select(*[c.split(" ")[0] for c in stoplog.STOP_LOG.split(", ")]).write.parquet(f"{log}/load={third}")
+        if third:
+            stoplog.compact(spark, log, state)
+    found = stoplog.read_stops(spark, log, state)
+    return found.select("vehicle_id", us("arrived_at"), us("departed_at"), F.round("lat", 6).alias("lat"))
+
+
 @query
 def derived_window_replace(spark, d):
     """Recompute the window with a wider minimum dwell and lay it over the stored derivation."""

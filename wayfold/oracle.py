@@ -462,6 +462,11 @@ SELECT * FROM j WHERE reason IS NOT NULL""",
         "SELECT vehicle_id, arrived_us, (SELECT max(departed_us) FROM rep r WHERE r.id = f.id) AS departed_us, round(lat, 6) AS lat "
         "FROM (SELECT * FROM rep QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq) = 1) f",
     ),
+    "client_stop_state": q(
+        CLIENT, REPORTS,
+        "SELECT vehicle_id, arrived_us, (SELECT max(departed_us) FROM rep r WHERE r.id = f.id) AS departed_us, round(lat, 6) AS lat "
+        "FROM (SELECT * FROM rep QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq) = 1) f",
+    ),
     "derived_window_replace": q(
         STOPS, TRIPS, CLIENT, ALL, REPLACED,
         f"""SELECT 'trip' AS what, vehicle_id, 'derived' AS source, started_us AS from_us, ended_us AS to_us FROM dtrips

@@ -76,13 +76,17 @@ def latest(spark: SparkSession, root: str) -> Snapshot:
     return Snapshot(root, numbers[-1], json.loads(raw))
 
 
-def commit(spark: SparkSession, base: Snapshot, changes: dict[str, Change]) -> Snapshot:
-    """Write the changes of all tables, then make them visible at once. Raises Conflict if base is no longer the latest."""
-    version, tables = uuid.uuid4().hex, {name: dict(held) for name, held in base.tables.items()}
+def commit(spark: SparkSession, base: Snapshot, changes: dict[str, Change], notes: dict[str, dict] | None = None) -> Snapshot:
+    """Write the changes of all tables, then make them visible at once. Raises Conflict if base is no longer the latest.
+
+    notes are entries of the manifest that stand for no table; each replaces the entry of its name."""
+    version, tables = uuid.uuid4().hex, {name: dict(held) for name, held in base.tables.items()} | (notes or {})
     for name, change in changes.items():
         path = f"{base.root}/{name}/version={version}"
         last = F.max(F.coalesce(F.unix_micros(change.end), F.lit(OPEN_US))).alias("last")
-        change.rows.withColumn("date", utc_date(change.start)).repartition("date").write.partitionBy("date").parquet(path)
+        # A date with many rows is split over several tasks, and few rows make few files.
+        dated = change.rows.withColumn("date", utc_date(change.start)).hint("rebalance", F.col("date"))
+        dated.write.partitionBy("date").parquet(path)
         held = tables.setdefault(name, {})
         for date in change.dates:
             held.pop(date.isoformat(), None)
@@ -114,7 +118,7 @@ def vacuum(spark: SparkSession, root: str, keep: int = 2) -> None:
         remove(spark, f"{root}/{MANIFESTS}/{number}.json")
     states = [json.loads(spark.read.text(f"{root}/{MANIFESTS}/{n}.json", wholetext=True).first()[0]) for n in numbers[-keep:]]
     for table in {t for s in states for t in s}:
-        used = {f"version={v}" for s in states for v, _ in s.get(table, {}).values()}
+        used = {f"version={entry[0]}" for s in states for entry in s.get(table, {}).values()}
         for name in children(spark, f"{root}/{table}"):
             if name.startswith("version=") and name not in used:
                 remove(spark, f"{root}/{table}/{name}")

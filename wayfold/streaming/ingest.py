@@ -16,17 +16,13 @@ from wayfold.operators.load import (
     load_audit,
     new_positions,
     new_vehicles,
-    resolve_stop_log,
 )
 from wayfold.session import materialise
+from wayfold.sources import stoplog
 from wayfold.sources.batches import batch_readings, batch_stops, judge_batches, with_vehicle_ids
 from wayfold.sources.idindex import IdIndex
 from wayfold.sources.tables import DATE, append_positions, children, exists, read_table, remove, utc_date
 
-STOP_LOG = (
-    "id string, vehicle_id string, arrived_at timestamp, departed_at timestamp, lat double, "
-    "lon double, received_at timestamp, batch_seq bigint"
-)
 AUDIT = (
     "enqueued bigint, inserted bigint, duplicates bigint, refused bigint, flushes bigint, failures bigint, "
     "stream string, epoch bigint, seq bigint, load string"
@@ -96,7 +92,7 @@ def _load(target: Target, batches: DataFrame, epoch: int, received_at, stream: s
         settled.write.mode("overwrite").parquet(staged)
     new_rows = _store(spark, target, load, again)
 
-    log = reports.withColumnRenamed("event_id", "id").select(*[c.split(" ")[0] for c in STOP_LOG.split(", ")])
+    log = reports.withColumnRenamed("event_id", "id").select(*[c.split(" ")[0] for c in stoplog.STOP_LOG.split(", ")])
     _put(collapse_by_id(log).withColumn("batch_seq", F.lit(seq).cast("bigint")), target, "stop_log", load)
     rejected = (
         bad_readings.withColumn("kind", F.lit("reading"))
@@ -191,5 +187,10 @@ def load_counters(spark: SparkSession, target: Target) -> DataFrame:
 
 def read_client_stops(spark: SparkSession, target: Target) -> DataFrame:
     """Client stops as the log leaves them."""
-    log = read_table(spark, target.path("stop_log"), f"{STOP_LOG}, load string").drop("load")
-    return resolve_stop_log(log).withColumn("source", F.lit("client"))
+    stops = stoplog.read_stops(spark, target.path("stop_log"), target.path("stop_state"))
+    return stops.drop("first_seq", "left_seq").withColumn("source", F.lit("client"))
+
+
+def compact_client_stops(spark: SparkSession, target: Target) -> int:
+    """Fold the stop log into its state, beside running loads; returns how many loads were folded."""
+    return stoplog.compact(spark, target.path("stop_log"), target.path("stop_state"))
