@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from conftest import LON, at, make_positions, place, track
 from wayfold import schema
 from wayfold.functions import validation
+from wayfold.operators import ledger
 from wayfold.operators.client import detect_client_stops, emission_counts, stops_from_emissions
 from wayfold.operators.ordered import WHOLE, Slicing
 from wayfold.operators.route import bounds, camera, merge_positions
@@ -70,7 +71,7 @@ def test_batches_leave_absent_values_out(spark):
 
 def test_one_bad_row_does_not_cost_the_others(spark):
     rows = make_positions(spark, [("v", 0, 49.0, LON), ("v", 0, 95.0, LON)])
-    good, bad = validation.split_valid(rows, validation.reading_reason(F.lit(at(0))), "reading_id")
+    good, bad = validation.split_valid(rows, validation.reading_reason, F.lit(at(0)), "reading_id")
     assert [r["reading_id"] for r in good.collect()] == ["00000000"]
     assert [(r["id"], r["reason"]) for r in bad.collect()] == [("00000001", "lat 95 out of range [-90, 90]")]
 
@@ -143,6 +144,31 @@ def test_client_detector_rules(spark):
     assert kinds(unknown) == [("arrived", 0)]
 
 
+def test_answers_name_what_is_refused_and_resolve_the_devices_queue(spark):
+    stop = {"event_id": "e1", "arrived_at": stamp(50), "departed_at": stamp(0), "lat": 49.0, "lon": -123.0}
+    lines = [
+        ("b1", batch("d1", [reading("r1"), reading("r2", lat=95), reading(""), reading("r3", 5)], [stop, {**stop, "event_id": "e2", "departed_at": None}])),
+        ("b2", batch("d1", [reading("r4")], **{"stop_events": None})),
+        ("b3", batch("", [reading("r5", lat=95)], [])),
+        ("b4", "not json"),
+    ]
+    parsed = wire.parse_batches(spark.createDataFrame(lines, "batch_id string, value string")).withColumn("received_at", F.lit(at(60)))
+    answers = wire.answer_batches(parsed, ["batch_id"])
+    found = {r["batch_id"]: (r["reason"], r["accepted"], r["accepted_stops"], [x["id"] for x in r["rejected"]], [tuple(x) for x in r["rejected_stops"]]) for r in answers.collect()}
+    assert found == {
+        "b1": (None, 2, 1, ["r2", ""], [("e1", "departed_at is before arrived_at")]),
+        "b2": (None, 1, 0, [], []),
+        "b3": ("device_id is required", 0, 0, [], []),
+        "b4": ("malformed JSON", 0, 0, [], []),
+    }
+    named = wire.rejections(answers, ["batch_id"])
+    assert {(r["batch_id"], r["kind"], r["id"]) for r in named.collect()} == {("b1", "reading", "r2"), ("b1", "reading", ""), ("b1", "stop", "e1")}
+    queue = [("b1", "q1", json.dumps({"reading_id": "r1"})), ("b1", "q2", json.dumps({"reading_id": "r2"})), ("b1", "q3", json.dumps({"event_id": "e1"})),
+             ("b2", "q4", json.dumps({"reading_id": "r2"}))]
+    verdicts = ledger.resolve_acks(spark.createDataFrame(queue, "batch_id string, id string, payload string"), named).collect()
+    assert {r["id"]: r["verdict"] for r in verdicts} == {"q1": "accepted", "q2": "rejected", "q3": "rejected", "q4": "accepted"}
+
+
 def test_ingest_replay_changes_nothing(spark, tmp_path):
     target = ingest.Target(str(tmp_path / "tables"))
     (tmp_path / "in").mkdir()
@@ -170,6 +196,10 @@ def test_ingest_replay_changes_nothing(spark, tmp_path):
     assert audit == [(1, 1, 0), (3, 2, 1), (2, 0, 2)]
     refused = {(r["kind"], r["reason"]) for r in spark.read.parquet(target.path("rejected")).collect()}
     assert refused == {("reading", "lat 99 out of range [-90, 90]"), ("batch", "malformed JSON")}
+    answers = sorted((r["reason"] or "", r["accepted"], r["accepted_stops"], len(r["rejected"])) for r in ingest.read_answers(spark, target).collect())
+    assert answers == [("", 1, 0, 0), ("", 1, 1, 1), ("", 2, 1, 0), ("", 2, 1, 0), ("malformed JSON", 0, 0, 0)]
+    assert ingest.compact_client_stops(spark, target) == 3
+    assert ingest.read_client_stops(spark, target).collect() == stop
 
 
 def test_routes(spark):

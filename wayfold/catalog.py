@@ -595,8 +595,8 @@ def fix_quality(spark, d):
 
 def flawed_readings(spark, d):
     """Readings with one kind of fault per modulus."""
-    n = n_of()
-    p = fx.positions(spark, d)
+    n = F.col("n")
+    p = fx.positions(spark, d).withColumn("n", n_of())
     return p.withColumns(
         {
             "reading_id": F.when(n % 101 == 0, F.lit(None)).otherwise(F.col("reading_id")),
@@ -617,7 +617,7 @@ def flawed_readings(spark, d):
 @query
 def reading_validation(spark, d):
     _, rejected = validation.split_valid(
-        flawed_readings(spark, d), validation.reading_reason(moment(fx.EPOCH_US + 24 * HOUR)), "reading_id"
+        flawed_readings(spark, d), validation.reading_reason, moment(fx.EPOCH_US + 24 * HOUR), "reading_id"
     )
     return rejected
 
@@ -625,7 +625,7 @@ def reading_validation(spark, d):
 @query
 def readings_accepted(spark, d):
     accepted, _ = validation.split_valid(
-        flawed_readings(spark, d), validation.reading_reason(moment(fx.EPOCH_US + 24 * HOUR)), "reading_id"
+        flawed_readings(spark, d), validation.reading_reason, moment(fx.EPOCH_US + 24 * HOUR), "reading_id"
     )
     return accepted.groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("accepted"))
 
@@ -648,7 +648,7 @@ def stop_validation(spark, d):
         F.when(n % 127 == 0, F.lit(200.0)).otherwise(F.col("lon")).alias("lon"),
     )
     _, rejected = validation.split_valid(
-        flawed, validation.stop_reason(moment(fx.EPOCH_US + 24 * HOUR)), "event_id"
+        flawed, validation.stop_reason, moment(fx.EPOCH_US + 24 * HOUR), "event_id"
     )
     return rejected
 
@@ -720,12 +720,29 @@ def ingest_response(spark, d):
     moved = F.concat(F.lit("dev-"), "vehicle_id")
     readings = flawed_readings(spark, d).withColumn("device_id", moved)
     good, _ = validation.split_valid(
-        readings, validation.reading_reason(moment(fx.EPOCH_US + 24 * HOUR)), "reading_id"
+        readings, validation.reading_reason, moment(fx.EPOCH_US + 24 * HOUR), "reading_id"
     )
     found = wire.ingest_response(good, emissions(spark, d).withColumn("device_id", moved))
     return found.select("device_id", big("accepted"), big("accepted_stops"))
 
 
+@query
+def batch_answers(spark, d):
+    """What batches with faulty readings are answered: up to 1000 readings of a vehicle in each, and the faulty ones named."""
+    fields = [f.split(":")[0] for f in schema.READING[7:-1].split(",")]
+    sent = flawed_readings(spark, d).groupBy("vehicle_id", F.expr("n div 1000").alias("batch_no"))
+    items = F.array_sort(F.collect_list(F.struct("n", F.struct(*fields).alias("r"))))
+    batches = sent.agg(F.transform(items, lambda x: x["r"].cast(schema.READING)).alias("readings")).withColumns({
+        "device_id": F.when(F.col("batch_no") % 7 != 3, F.concat(F.lit("dev-"), "vehicle_id")).otherwise(""),
+        "stop_events": F.lit(None).cast(f"array<{schema.STOP_REPORT}>"),
+        "received_at": moment(fx.EPOCH_US + 24 * HOUR),
+        wire.CORRUPT: F.lit(None).cast("string"),
+    })
+    found = wire.answer_batches(batches, ["vehicle_id", "batch_no"])
+    named = F.transform("rejected", lambda r: F.concat_ws(": ", r["id"], r["reason"]))
+    return found.select("vehicle_id", big("batch_no"), "reason", "accepted", "accepted_stops", F.array_join(named, "; ").alias("rejected"))
+
+
 @query
 def clock_offsets(spark, d):
     n = n_of()
@@ -840,7 +857,7 @@ def client_stop_state(spark, d):
     """The same from stored loads that arrive out of order: two of three are compacted one after the other, the third is laid over."""
     root = f"{ensure_checkpoint_dir(spark)}/stops-{uuid.uuid4()}"
     log, state = f"{root}/log", f"{root}/state"
-    reports = materialise(stop_reports(spark, d))
+    reports = materialise(stop_reports(spark, d).withColumn("received_at", moment(NOW)))
     for third in (1, 2, 0):
         part = reports.filter(F.col("batch_seq") % 3 == third)
         part.select(*[c.split(" ")[0] for c in stoplog.STOP_LOG.split(", ")]).write.parquet(f"{log}/load={third}")

@@ -437,6 +437,13 @@ SELECT * FROM j WHERE reason IS NOT NULL""",
         "SELECT 'dev-' || vehicle_id AS device_id, CAST(sum(r) AS BIGINT) AS accepted, CAST(sum(s) AS BIGINT) AS accepted_stops FROM ("
         "SELECT vehicle_id, 1 AS r, 0 AS s FROM judged WHERE reason IS NULL UNION ALL SELECT vehicle_id, 0, 1 FROM emitted) GROUP BY 1",
     ),
+    "batch_answers": q(
+        JUDGED,
+        "SELECT vehicle_id, event_id // 1000 AS batch_no, CASE WHEN event_id // 1000 % 7 = 3 THEN 'device_id is required' END AS reason, "
+        "CASE WHEN event_id // 1000 % 7 = 3 THEN 0 ELSE count(*) FILTER (reason IS NULL) END AS accepted, CAST(0 AS BIGINT) AS accepted_stops, "
+        "CASE WHEN event_id // 1000 % 7 = 3 THEN '' ELSE coalesce(string_agg(coalesce(reading_id, '00000000-0000-0000-0000-000000000000') || ': ' || reason, '; ' "
+        "ORDER BY event_id) FILTER (reason IS NOT NULL), '') END AS rejected FROM judged GROUP BY vehicle_id, event_id // 1000",
+    ),
     "clock_offsets": q(
         "SELECT 'dev-' || vehicle_id AS device_id, count(*) AS batches, round(avg((received_us - us - 250000) // 1000), 3) AS mean_offset_ms "
         "FROM pos WHERE event_id % 5 <> 0 GROUP BY 1"

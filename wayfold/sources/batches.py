@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold import schema
-from wayfold.functions.validation import batch_reason
+from wayfold.functions.validation import NIL_ID, batch_reason, reading_reason, stop_reason
 from wayfold.operators.ordered import Slicing, number_rows, resolve_slicing
 from wayfold.operators.stops import event_id
 
@@ -17,6 +17,8 @@ JSON_OPTIONS = {
 
 
 RFC3339 = r"^\d{4}-\d\d-\d\d[Tt]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)$"
+#: Refused items of a batch.
+REJECTIONS = "array<struct<id:string,reason:string>>"
 UUID = r"^(?i)(urn:uuid:)?[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|^[0-9a-f]{32}$"
 
 
@@ -92,6 +94,48 @@ def judge_batches(batches: DataFrame) -> tuple[DataFrame, DataFrame]:
     return usable, judged.filter("reason is not null").select("device_id", "reason")
 
 
+def answer_batches(batches: DataFrame, keys: list[str]) -> DataFrame:
+    """What each batch is answered: (*keys, reason, accepted, accepted_stops, rejected, rejected_stops).
+
+    The last two name what is refused of a batch that is taken, as (id, reason) in the batch's order; reason says why a whole
+    batch is refused, of which nothing is accepted or named. Each batch is judged within its row. They carry received_at.
+    """
+
+    def refused(column, rule, name):
+        def judged(x):
+            def of(field):
+                return F.coalesce(x[field], F.lit(0.0)) if field in ("lat", "lon") else x[field]
+
+            return F.struct(F.coalesce(x[name], F.lit(NIL_ID)).alias("id"), rule(F.col("received_at"), of).alias("reason"))
+
+        found = F.filter(F.transform(column, judged), lambda r: r["reason"].isNotNull())
+        return F.when(F.col("reason").isNull() & F.col(column).isNotNull(), found).otherwise(F.array().cast(REJECTIONS))
+
+    def accepted(column, rejected):
+        sent = F.when(F.col("reason").isNull() & F.col(column).isNotNull(), F.size(column)).otherwise(0)
+        return (sent - F.size(rejected)).cast("bigint")
+
+    whole = F.when(F.col(CORRUPT).isNotNull(), "malformed JSON").otherwise(batch_reason())
+    named = batches.withColumn("reason", whole).withColumns({
+        "rejected": refused("readings", reading_reason, "reading_id"),
+        "rejected_stops": refused("stop_events", stop_reason, "event_id"),
+    })
+    return named.select(
+        *keys, "reason",
+        accepted("readings", "rejected").alias("accepted"), accepted("stop_events", "rejected_stops").alias("accepted_stops"),
+        "rejected", "rejected_stops",
+    )
+
+
+def rejections(answers: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, kind, id, reason) of everything that the answers name; with batch_id as the key, what resolve_acks asks for."""
+    def of_kind(column, kind):
+        return F.transform(column, lambda r: F.struct(F.lit(kind).alias("kind"), r["id"].alias("id"), r["reason"].alias("reason")))
+
+    both = [of_kind("rejected", "reading"), of_kind("rejected_stops", "stop")]
+    return answers.select(*keys, F.explode(F.concat(*both)).alias("r")).select(*keys, "r.*")
+
+
 def vehicle_id_of(device_id: str = "device_id"):
     """The id register_vehicles gives a device."""
     return event_id("vehicle", F.col(device_id))

@@ -19,7 +19,7 @@ from wayfold.operators.load import (
 )
 from wayfold.session import materialise
 from wayfold.sources import stoplog
-from wayfold.sources.batches import batch_readings, batch_stops, judge_batches, with_vehicle_ids
+from wayfold.sources.batches import REJECTIONS, answer_batches, batch_readings, batch_stops, judge_batches, with_vehicle_ids
 from wayfold.sources.idindex import IdIndex
 from wayfold.sources.tables import DATE, append_positions, children, exists, read_table, remove, utc_date
 
@@ -27,6 +27,10 @@ AUDIT = (
     "enqueued bigint, inserted bigint, duplicates bigint, refused bigint, flushes bigint, failures bigint, "
     "stream string, epoch bigint, seq bigint, load string"
 )
+ANSWERS = (
+    "device_id string, sent_at timestamp, received_at timestamp, reason string, accepted bigint, accepted_stops bigint, "
+    f"rejected {REJECTIONS}, rejected_stops {REJECTIONS}, load string"
+)
 CLAIM = "seq bigint, load string"
 ATTEMPT = "begun timestamp, load string"
 _TURNS: dict[str, threading.Lock] = {}
@@ -65,7 +69,7 @@ def _load(target: Target, batches: DataFrame, epoch: int, received_at, stream: s
     now = F.current_timestamp() if received_at is None else received_at
     arrived = materialise(batches.withColumn("received_at", now))
     usable, refused = judge_batches(arrived)
-    reading_rule, stop_rule = reading_reason(F.col("received_at")), stop_reason(F.col("received_at"))
+    arrival = F.col("received_at")
 
     # Of the vehicle table only the rows of devices that report in this batch are kept.
     devices = usable.select(F.col("device_id").alias("external_id")).distinct()
@@ -74,8 +78,8 @@ def _load(target: Target, batches: DataFrame, epoch: int, received_at, stream: s
     added = materialise(new_vehicles(mine, usable, F.current_timestamp()))
     added.write.mode("append").parquet(target.path("vehicles"))
     known = mine.unionByName(added)
-    readings, bad_readings = split_valid(with_vehicle_ids(batch_readings(usable), known), reading_rule, "reading_id")
-    reports, bad_reports = split_valid(with_vehicle_ids(batch_stops(usable), known), stop_rule, "event_id")
+    readings, bad_readings = split_valid(with_vehicle_ids(batch_readings(usable), known), reading_reason, arrival, "reading_id")
+    reports, bad_reports = split_valid(with_vehicle_ids(batch_stops(usable), known), stop_reason, arrival, "event_id")
 
     columns = [c.split(" ")[0] for c in schema.POSITIONS.split(", ")]
     batch = materialise(readings.select(*columns, "batch_seq"))
@@ -101,6 +105,7 @@ def _load(target: Target, batches: DataFrame, epoch: int, received_at, stream: s
     )
     rejected = materialise(rejected.select("kind", "id", "reason"))
     _put(rejected, target, "rejected", load)
+    _put(answer_batches(arrived, ["device_id", "sent_at", "received_at"]), target, "answers", load)
 
     attempts = read_table(spark, target.path("attempts"), ATTEMPT).where(F.col("load") == load).count()
     told = load_audit(batch, new_rows).select("enqueued", "inserted", "duplicates").withColumns(
@@ -185,6 +190,11 @@ def load_counters(spark: SparkSession, target: Target) -> DataFrame:
     return audit.groupBy("stream").agg(F.count(F.lit(1)).alias("loads"), *[F.sum(n).alias(n) for n in names])
 
 
+def read_answers(spark: SparkSession, target: Target) -> DataFrame:
+    """What each batch was answered, by device and the time it was sent."""
+    return read_table(spark, target.path("answers"), ANSWERS)
+
+
 def read_client_stops(spark: SparkSession, target: Target) -> DataFrame:
     """Client stops as the log leaves them."""
     stops = stoplog.read_stops(spark, target.path("stop_log"), target.path("stop_state"))
