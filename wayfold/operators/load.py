@@ -16,8 +16,9 @@ def _known(existing: DataFrame, ids: DataFrame, column: str) -> DataFrame:
 def first_writes(batch: DataFrame, key: str, order: list) -> DataFrame:
     """One row per key, the first in `order`; combines map-side, so replays collapse before the shuffle."""
     ranked = F.struct(*order, *[c for c in batch.columns if c not in order])
-    first = F.min_by(F.struct(*batch.columns), ranked)
-    return batch.groupBy(F.col(key).alias("_key")).agg(first.alias("r")).select("r.*")
+    # The rank holds the whole row, so its least value is the row: nothing is carried twice.
+    firsts = batch.groupBy(F.col(key).alias("_key")).agg(F.min(ranked).alias("r"))
+    return firsts.select(*[F.col(f"r.{c}").alias(c) for c in batch.columns])
 
 
 def new_positions(known: DataFrame, batch: DataFrame, order: tuple = ("received_at",)) -> DataFrame:

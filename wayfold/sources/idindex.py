@@ -58,14 +58,16 @@ class IdIndex:
 
     def add(self, ids: DataFrame, run: str) -> None:
         """Store the strings of the one column of ids as a run."""
-        ids = ids.toDF("id").where("id IS NOT NULL").distinct()
+        ids = ids.toDF("id").where("id IS NOT NULL")
         n = ids.count()
         if not n:
             return
         buckets = 1 << max(0, (n - 1) // BUCKET_IDS).bit_length()
         bucket = F.pmod(F.xxhash64("id"), F.lit(buckets))
         placed = ids.withColumn("part", F.concat(F.lit(f"{run}."), bucket.cast("string")))
-        placed.repartition("part").sortWithinPartitions("id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(self.ids)
+        # An id has one bucket, so the shuffle that brings buckets together also lets its copies meet.
+        placed = placed.repartition("part").dropDuplicates(["part", "id"]).sortWithinPartitions("part", "id")
+        placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(self.ids)
 
         def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame([(run, buckets, key[0], len(rows), _filter_of(rows["h"].to_numpy()))], columns=[c.split(" ")[0] for c in FILTER.split(", ")])
