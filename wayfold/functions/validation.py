@@ -26,6 +26,7 @@ def _ahead(value, now):
 
 def _text(number):
     """A number as short as it can be, with an exponent from 1e+06 on and below 1e-04."""
+    number = F.col(number) if isinstance(number, str) else number
     value = number.cast("double")
     power = F.floor(F.log10(F.abs(value))).cast("double").try_cast("int")
     digits = F.regexp_replace(F.regexp_replace(F.abs(number).cast("string"), r"E.*$", ""), r"[.]", "")
@@ -132,6 +133,11 @@ def stop_reason(now, of=F.col, told: bool = True) -> Column:
     )
 
 
+def accepted_rows(df, rule, now):
+    """Rows that no rule of reading_reason or stop_reason refuses; only asks whether one holds."""
+    return df.filter(rule(now, told=False).isNull())
+
+
 def split_valid(df, rule, now, id_column: str):
     """(accepted rows, rejected (id, reason) rows) by reading_reason or stop_reason; one bad row never costs the others.
 
@@ -139,6 +145,6 @@ def split_valid(df, rule, now, id_column: str):
     The rejected side explodes the reason, if any, instead of filtering on it: Spark would otherwise
     evaluate the whole rule chain twice per row, in a method too long for the JIT compiler.
     """
-    accepted = df.filter(rule(now, told=False).isNull())
+    accepted = accepted_rows(df, rule, now)
     found = F.explode(F.array_compact(F.array(rule(now)))).alias("reason")
     return accepted, df.select(F.coalesce(F.col(id_column), F.lit(NIL_ID)).alias("id"), found)

@@ -109,10 +109,12 @@ def inside_slice(keys: list[str], order: list):
 
 def number_rows(df, keys, ts, order, slicing: Slicing, name="rn") -> DataFrame:
     """0-based position of each row in the order of its key."""
+    if slicing.whole:
+        # Without the slice as a key, what is grouped by keys and the number afterwards needs no other shuffle.
+        whole = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+        return df.withColumn(name, whole.cast("bigint"))
     sliced = slicing.attach(df, keys, ts)
     local = F.row_number().over(inside_slice(keys, order)) - 1
-    if slicing.whole:
-        return sliced.withColumn(name, local.cast("bigint")).drop(SLICE)
     offset = F.sum("_n").over(earlier_slices(keys)).alias("_offset")
     out = carry_in(sliced, keys, [F.count(F.lit(1)).alias("_n")], [offset])
     numbered = (local + F.coalesce("_offset", F.lit(0))).cast("bigint")

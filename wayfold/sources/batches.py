@@ -46,19 +46,19 @@ def _typed(batches: DataFrame, uuid_ids: bool) -> DataFrame:
         return value.isNull() | value.rlike(pattern)
 
     def moment(value):
-        return value.try_cast("timestamp")
+        return F.when(value.rlike(RFC3339), value.try_cast("timestamp"))
 
-    def time_ok(value):
-        return fits(value, RFC3339) & (value.isNull() == moment(value).isNull())
+    def given(column, field):
+        return F.size(F.filter(column, lambda x: x[field].isNotNull()))
 
     def items_ok(column, times, name):
-        def ok(x):
-            good = time_ok(x[times[0]])
-            for t in times[1:]:
-                good = good & time_ok(x[t])
-            return good & (fits(x[name], UUID) if uuid_ids else F.lit(True))
-
-        return F.coalesce(F.forall(column, ok), F.lit(True))
+        """As many times could be read as are written; typed reads each of them once."""
+        good = F.lit(True)
+        for t in times:
+            good = good & (given(column, t) == given(f"_{column}", t))
+        if uuid_ids:
+            good = good & F.forall(column, lambda x: fits(x[name], UUID))
+        return F.coalesce(good, F.lit(True))
 
     def typed(column, times, kind):
         fields = [f.split(":")[0] for f in kind[7:-1].split(",")]
@@ -67,7 +67,7 @@ def _typed(batches: DataFrame, uuid_ids: bool) -> DataFrame:
         )
 
     good = (
-        time_ok(F.col("sent_at"))
+        (F.col("sent_at").isNull() == F.col("_sent_at").isNull())
         & items_ok("readings", ["recorded_at"], "reading_id")
         & items_ok("stop_events", ["arrived_at", "departed_at"], "event_id")
     )
@@ -80,9 +80,10 @@ def _typed(batches: DataFrame, uuid_ids: bool) -> DataFrame:
         "stop_events": typed("stop_events", ["arrived_at", "departed_at"], schema.STOP_REPORT),
     }
     others = [c for c in batches.columns if c not in columns and c != CORRUPT]
-    marked = batches.withColumn(CORRUPT, corrupt)
+    read = batches.withColumns({f"_{name}": value for name, value in columns.items() if name != "device_id"})
+    marked = read.withColumn(CORRUPT, corrupt)
     bad = F.col(CORRUPT).isNotNull()
-    kept = [F.when(~bad, value).alias(name) for name, value in columns.items() if name != "device_id"]
+    kept = [F.when(~bad, F.col(f"_{name}")).alias(name) for name in columns if name != "device_id"]
     return marked.select(*others, "device_id", *kept, CORRUPT)
 
 
